@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows that Spark puts in one Arrow batch for the text operators; long documents then stay within memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
 #: Bytes of text that a kernel sees at once (one document at least).
 SLICE_BYTES = 4 << 20
 
