@@ -125,7 +125,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_classes(table(spark, sf_dir, "documents"))
+    return duplicate_classes(table(spark, sf_dir, "documents")).drop("possibly_repeated")
 
 
 SQL = """

@@ -38,17 +38,26 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Token ids of distinct words, laid end to end; starts afresh beyond ``most`` words."""
+    """Token ids of distinct words, laid end to end; beyond ``most`` words the rare ones are forgotten."""
 
-    def __init__(self, splitter: Splitter, encode, most: int = 400_000) -> None:
+    def __init__(self, splitter: Splitter, encode, most: int = 500_000) -> None:
         self.splitter, self.encode, self.most = splitter, encode, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.empty(0, dtype=np.uint32)
-        self.start = np.empty(0, dtype=np.int64)
-        self.count = np.empty(0, dtype=np.int64)
+        self.start, self.count, self.hits = (np.empty(0, dtype=np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.hits > 2)
+        if 2 * len(keep) > self.most:
+            keep = keep[:0]
+        kept = set(keep.tolist())
+        words = [w for w, i in self.number.items() if i in kept]
+        old = np.array([self.number[w] for w in words], dtype=np.int64)
+        self.number = dict(zip(words, range(len(words)), strict=True))
+        self.count, starts = self.count[old], self.start[old]
+        self.ids = self.ids[ragged(starts, self.count)]
+        self.start = np.cumsum(self.count) - self.count
+        self.hits = np.zeros(len(words), dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
         """``encode`` gives the ids of all words end to end, and how many each has."""
@@ -57,18 +66,20 @@ class WordCache:
         self.number.update(zip(words, range(base, base + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
         self.ids = np.concatenate([self.ids, ids])
 
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
         if len(self.number) > self.most:
-            self._clear()
+            self._forget()
         split = [self.splitter.words(t) for t in texts]
         flat = [w for words in split for w in words]
         new = set(flat).difference(self.number)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         at = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.hits += np.bincount(at, minlength=len(self.hits))
         counts = self.count[at]
         ids = self.ids[ragged(self.start[at], counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])
