@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from photonest.llm.common import map_texts, table
-from photonest.llm.pieces import Splitter, WordCache, ragged
+from photonest.llm.pieces import WordCache, ragged
 
 NEVER = np.int64(1 << 40)
 
@@ -138,7 +138,7 @@ class Merges:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that may hold several pieces each."""
-        split = [self.find(w) for w in words]
+        split = [[w] if w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else self.find(w) for w in words]
         flat = [p for x in split for p in x]
         distinct = sorted(set(flat))
         number = dict(zip(distinct, range(len(distinct)), strict=True))
@@ -157,7 +157,7 @@ class Merges:
 def codec(path: str, pattern: str) -> tuple[Merges, WordCache]:
     """One per worker and rank file."""
     merges = Merges(path, pattern)
-    return merges, WordCache(Splitter(pattern), merges.encode_words)
+    return merges, WordCache(pattern, merges.encode_words)
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -165,7 +165,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids", BinaryType())])
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        ids, counts = codec(path, pattern)[1].encode_texts([t or "" for t in batch.column("text").to_pylist()])
+        ids, counts = codec(path, pattern)[1].encode_texts(batch.column("text"))
         raw = ids.astype("<u4").tobytes()
         ends = (4 * np.cumsum(counts)).tolist()
         return {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts), "ids": [raw[a:b] for a, b in zip([0, *ends], ends)]}  # noqa: B905

@@ -2,32 +2,20 @@
 
 A split at each space is a split between pieces of the tokenizers' pattern wherever the space is
 followed by something other than white space: a piece takes at most the last space before a word.
-Texts with other white space after a space are split by the pattern itself.
+Texts with white space after a space are split by the pattern itself.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-
-class Splitter:
-    """Turns texts into numbers of distinct words."""
-
-    def __init__(self, pattern: str) -> None:
-        self.find = regex.compile(pattern).findall
-
-    def words(self, text: str) -> list[str]:
-        """Strings whose concatenation is ``text`` and which can be tokenised one by one."""
-        if not text:
-            return []
-        parts = text.split(" ")
-        for x in parts[1:-1]:
-            if not x or x[0].isspace():
-                return self.find(text)
-        if len(parts) > 1 and parts[-1][:1].isspace():
-            return self.find(text)
-        return [w for w in [parts[0]] if w] + [" " + x for x in parts[1:]]
+#: Marks a word that has no space before it; a lone surrogate is in no UTF-8 text.
+BARE = "\ud800"
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -38,16 +26,19 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """Token ids of distinct words, laid end to end; beyond ``most`` words the rare ones are forgotten."""
+    """Token ids of distinct words, laid end to end; beyond ``most`` words the rare ones are forgotten.
 
-    def __init__(self, splitter: Splitter, encode, most: int = 500_000) -> None:
-        self.splitter, self.encode, self.most = splitter, encode, most
+    ``encode`` takes strings and gives the ids of all of them end to end, and how many each has.
+    """
+
+    def __init__(self, pattern: str, encode, most: int = 600_000) -> None:
+        self.find, self.encode, self.most = regex.compile(pattern).findall, encode, most
         self.number: dict[str, int] = {}
         self.ids = np.empty(0, dtype=np.uint32)
         self.start, self.count, self.hits = (np.empty(0, dtype=np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.hits > 2)
+        keep = np.flatnonzero(self.hits > 1)
         if 2 * len(keep) > self.most:
             keep = keep[:0]
         kept = set(keep.tolist())
@@ -59,29 +50,59 @@ class WordCache:
         self.start = np.cumsum(self.count) - self.count
         self.hits = np.zeros(len(words), dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        """``encode`` gives the ids of all words end to end, and how many each has."""
-        ids, counts = self.encode(words)
-        base = len(self.number)
-        self.number.update(zip(words, range(base, base + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, ids])
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, those not yet known being encoded."""
+        known = self.number
+        new = [w for w in words if w not in known]
+        if new:
+            ids, counts = self.encode([w[1:] if w[:1] == BARE else " " + w for w in new])
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), dtype=np.int64)])
+            self.ids = np.concatenate([self.ids, ids])
+        at = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        self.hits[at] += 1
+        return at
 
-    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and how many each has."""
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has. Null is empty."""
         if len(self.number) > self.most:
             self._forget()
-        split = [self.splitter.words(t) for t in texts]
-        flat = [w for words in split for w in words]
-        new = set(flat).difference(self.number)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        self.hits += np.bincount(at, minlength=len(self.hits))
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        index = words.indices.to_numpy().astype(np.int64)
+        size = pc.list_value_length(split).to_numpy().astype(np.int64)
+        ends = np.cumsum(size)
+        first = ends - size
+        doc = np.repeat(np.arange(len(size)), size)
+        # White space after a space: the whole text is split by the pattern.
+        head = pc.utf8_slice_codeunits(words.dictionary, 0, 1)
+        odd = pc.or_(pc.utf8_is_space(head), pc.equal(head, "")).to_numpy(zero_copy_only=False)[index]
+        odd[first] = False
+        by_pattern = np.unique(doc[odd])
+        rest = np.ones(len(index), dtype=bool)
+        rest[first] = False
+        rest &= ~np.isin(doc, by_pattern)
+        number = np.zeros(len(distinct), dtype=np.int64)
+        used = np.unique(index[rest])
+        number[used] = self._numbers([distinct[i] for i in used.tolist()])
+        at, of = number[index[rest]], doc[rest]
+        # First words, and the pieces of texts split by the pattern.
+        skip = set(by_pattern.tolist())
+        bare = [[BARE + w] if w else [] for w in (distinct[i] for i in index[first].tolist())]
+        for i in skip:
+            bare[i] = [BARE + p for p in self.find(texts[i].as_py())]
+        flat = list(chain.from_iterable(bare))
+        if flat:
+            seen = list(dict.fromkeys(flat))
+            by_word = dict(zip(seen, self._numbers(seen).tolist(), strict=True))
+            at = np.concatenate([np.fromiter(map(by_word.__getitem__, flat), dtype=np.int64, count=len(flat)), at])
+            of = np.concatenate([np.repeat(np.arange(len(bare)), list(map(len, bare))), of])
+            order = np.argsort(of, kind="stable")  # a first word comes before the others of its text
+            at, of = at[order], of[order]
         counts = self.count[at]
         ids = self.ids[ragged(self.start[at], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        words = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(ends[words])
+        return ids, np.bincount(of, counts, minlength=len(size)).astype(np.int64)

@@ -21,13 +21,16 @@ comes first. An empty table makes an empty store.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
@@ -35,7 +38,7 @@ from pyspark.sql.window import Window
 
 from photonest.llm.bpe import tokenizer_file
 from photonest.llm.common import map_texts, table
-from photonest.llm.pieces import Splitter, WordCache
+from photonest.llm.pieces import WordCache
 from photonest.session import new_path, shuffle_partitions
 
 WINDOW, SHORTEST, MEAN, LONGEST = 16, 64, 256, 1024
@@ -89,19 +92,57 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary writes bytes: printable ones themselves, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> tuple[WordCache, int]:
-    """One per worker: distinct words go through the tokenizers library in one call a slice."""
+    """One per worker: the pieces of distinct words go through the BPE model of the tokenizers library."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    gc.set_threshold(100_000, 50, 50)  # a slice makes millions of small lists and no cycles
+    tokenize, letters = library.model.tokenize, byte_letters()
+    space = letters[32]
+    pieces = regex.compile(pattern).findall
+
+    def ids_of(piece: str) -> list[int]:
+        if piece.isascii() and piece[1:].isalnum() and piece[0] == " ":
+            return [t.id for t in tokenize(space + piece[1:])]
+        return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+
+    tails: dict[str, list[int]] = {}  # runs of these marks are one piece each
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        made = library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        return np.array(made.ids, dtype=np.uint32), np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(words))
+        known: dict[str, list[int]] = {}
+        found = []
+        for w in words:
+            core = w.rstrip(".,!")
+            if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+                tail = w[len(core) :]
+                if not tail:
+                    found.append(ids_of(w))
+                    continue
+                if core not in known:
+                    known[core] = ids_of(core)
+                if tail not in tails and len(tails) < 1000:
+                    tails[tail] = ids_of(tail)
+                found.append(known[core] + (tails.get(tail) or ids_of(tail)))
+                continue
+            ids: list[int] = []
+            for p in pieces(w):
+                if p not in known:
+                    known[p] = ids_of(p)
+                ids += known[p]
+            found.append(ids)
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32)
+        return flat, np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
-    return WordCache(Splitter(pattern), encode), 2 if library.get_vocab_size() <= 1 << 16 else 4
+    return WordCache(pattern, encode), 2 if library.get_vocab_size() <= 1 << 16 else 4
 
 
 _ROW = StructType(
@@ -122,7 +163,7 @@ def _chunked(path: str, pattern: str, end_id: int):
 
     def kernel(batch: pa.RecordBatch) -> dict:
         cache, width = _encoder(path, pattern)
-        ids, counts = cache.encode_texts([t or "" for t in batch.column("text").to_pylist()])
+        ids, counts = cache.encode_texts(batch.column("text"))
         ends = np.cumsum(counts)
         ids = np.insert(ids, ends, end_id)
         ends = ends + np.arange(1, len(counts) + 1)
@@ -148,18 +189,6 @@ def _chunked(path: str, pattern: str, end_id: int):
     return kernel
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of chunk rows sorted by key, the first of each key; all recipe rows."""
-    last = None
-    for batch in batches:
-        keys = batch.column("key").to_pylist()
-        keep = []
-        for kind, key in zip(batch.column("kind").to_pylist(), keys, strict=True):
-            keep.append(kind != "chunk" or key != last)
-            last = key if kind == "chunk" else last
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 _RECIPE = StructType(
     [
         StructField("doc_id", LongType()),
@@ -224,8 +253,11 @@ def write_store(df: DataFrame, path: str, vocabulary: str, pattern: str, end_id:
     """Tokenise ``(doc_id, text)`` rows with the tokenizers file ``vocabulary`` and write the store at ``path``."""
     spark = df.sparkSession
     n = shuffle_partitions(spark)
-    rows = map_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _chunked(vocabulary, pattern, end_id), _ROW)
-    rows = rows.repartition(n, "key").sortWithinPartitions("kind", "key").mapInArrow(_once, _ROW)
+    rows = map_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _chunked(vocabulary, pattern, end_id), _ROW, limit=8 << 20)
+    # Of equal chunks one stays; recipes are told apart by their number.
+    row = F.when(F.col("kind") == "recipe", F.monotonically_increasing_id())
+    same = Window.partitionBy("key", "kind", "row").orderBy("n")
+    rows = rows.withColumn("row", row).repartition(n, "key").withColumn("at", F.row_number().over(same)).where("at = 1").drop("row", "at")
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/chunks")
     recipes = spark.read.schema(_ROW).parquet(f"{path}/chunks").where("kind = 'recipe'").select("doc_id", "n", "hashes")
     ordered = recipes.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n")
@@ -253,22 +285,34 @@ _DOCUMENT = StructType([StructField("doc_id", LongType()), StructField("start",
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crcs = []
-        for doc_id, n, root, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root", "chunks")), strict=True):
-            chunks = sorted(chunks, key=lambda c: c["pos"])
-            if sum(c["chunk_n"] for c in chunks) != n or merkle_root([c["key"] for c in chunks]) != root:
+        chunks = batch.column("chunks")
+        pos, keys, sizes, parts = chunks.flatten().flatten()
+        ends = np.cumsum(chunks.value_lengths().to_numpy())
+        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        order = np.lexsort((pos.to_numpy(), row))
+        keys = [keys[i] for keys in (keys.to_pylist(),) for i in order.tolist()]
+        sizes, parts = sizes.to_numpy()[order].tolist(), parts.to_numpy()[order].tolist()
+        crcs, start = [], 0
+        for doc_id, n, root, end in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "root")), ends.tolist(), strict=True):
+            if sum(sizes[start:end]) != n or merkle_root(keys[start:end]) != root:
                 raise ValueError(f"document {doc_id} cannot be put together from its chunks")
             crc = 0
-            for c in chunks:  # the checksum of a || b from those of a and b
-                gap = _ZEROS[: 4 * c["chunk_n"]]
-                crc = zlib.crc32(gap, crc) ^ zlib.crc32(gap) ^ c["crc"]
+            for size, part in zip(sizes[start:end], parts[start:end], strict=True):  # the checksum of a || b from those of a and b
+                gap = _ZEROS[: 4 * size]
+                crc = zlib.crc32(gap, crc) ^ _of_zeros(size) ^ part
             crcs.append(crc)
+            start = end
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array([r.hex() for r in batch.column("root").to_pylist()], pa.string())],
             names=_DOCUMENT.names,
         )
 
 
+@lru_cache(maxsize=LONGEST + 1)
+def _of_zeros(size: int) -> int:
+    return zlib.crc32(_ZEROS[: 4 * size])
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32, merkle_root)`` from the files of a store, verified."""
     chunks = spark.read.schema(_ROW).parquet(f"{path}/chunks").where("kind = 'chunk'").select("key", "width", "payload")
