@@ -136,13 +136,13 @@ def _round(rows: DataFrame, width: int, length: int, gram: int) -> tuple[DataFra
     cut = cut.withColumn("hull", F.xxhash64(hull, "l_lo", "l_hi"))
     cut = cut.withColumn("shared", shared).withColumn("r2", F.xxhash64(F.lit(width), "r2", "lo", F.sha1("shared")))
     cut = cut.withColumn("r1", F.xxhash64("r1", "lo", "shared")).drop("shared", "lo", "hi")
-    cut = materialize(cut, "ranked")
+    cut = materialize(cut, "ranked", thin=True)
     who = F.struct("digest", "p")
     classes = cut.groupBy("r1", "r2", "hull").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.max("need").alias("need"))
     classes = classes.withColumn("repeats", F.col("a") != F.col("b")).withColumn("open", F.col("need") & ~F.col("repeats")).drop("b", "need")
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", thin=True)
     ranks = classes.groupBy("r1", "r2").agg(F.max("open").alias("go_on"), F.count("*").alias("n")).where("go_on and n > 1").select("r1", "r2")
-    ranks = materialize(ranks, "open-ranks")
+    ranks = materialize(ranks, "open-ranks", thin=True)
     found = cut.where("need").join(classes.where("repeats").select("r1", "r2", "hull"), ["r1", "r2", "hull"], "left_semi")
     found = found.select("digest", (F.col("p") - F.col("l_hi")).alias("s_lo"), (F.col("p") - F.col("l_lo")).alias("s_hi"))
     if width == 1:
@@ -159,23 +159,23 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     Copies of one text are one place; their windows are not reported for that alone.
     """
-    anchors = materialize(map_texts(docs.select("doc_id", "text"), _anchors(length, gram), _ANCHOR, limit=2 << 20), "anchors")
+    anchors = materialize(map_texts(docs.select("doc_id", "text"), _anchors(length, gram), _ANCHOR, limit=512 << 10), "anchors")
     often = anchors.groupBy("khash").agg(F.count("*").alias("n")).where("n > 1")
-    anchors = Bitmap(materialize(often.select("khash"), "repeated-grams"), "khash").keep(anchors, "khash")
+    anchors = Bitmap(materialize(often.select("khash"), "repeated-grams", thin=True), "khash").keep(anchors, "khash")
     # The rank of an anchor's string is its hash; the string itself joins the rank in the next round.
     who = F.struct("digest", "p")
     classes = anchors.groupBy("khash", "hull").agg(F.min(F.struct("digest", "p", "doc_id", "s_lo", "s_hi")).alias("a"), F.max(who).alias("b"))
     repeats = (F.col("a.digest") != F.col("b.digest")) | (F.col("a.p") != F.col("b.p"))
-    classes = materialize(classes.select("khash", "hull", "a", repeats.alias("repeats")), "classes")
+    classes = materialize(classes.select("khash", "hull", "a", repeats.alias("repeats")), "classes", thin=True)
     found = [
         materialize(
-            anchors.join(classes.where("repeats").select("khash", "hull"), ["khash", "hull"], "left_semi").select("digest", "s_lo", "s_hi").distinct(), "repeats"
+            anchors.join(classes.where("repeats").select("khash", "hull"), ["khash", "hull"], "left_semi").select("digest", "s_lo", "s_hi").distinct(), "repeats", thin=True
         )
     ]
     ranks = classes.groupBy("khash").agg(F.count("*").alias("n"), F.max(~F.col("repeats")).alias("open")).where("n > 1 and open").select("khash")
-    live = classes.join(materialize(ranks, "open-ranks"), "khash", "left_semi").select("khash", "a.*", (~F.col("repeats")).alias("need"))
+    live = classes.join(materialize(ranks, "open-ranks", thin=True), "khash", "left_semi").select("khash", "a.*", (~F.col("repeats")).alias("need"))
     wanted = live.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("khash", "p", "s_lo", "s_hi", "need")).alias("rows"))
-    wanted = materialize(wanted.withColumn("h", F.xxhash64("digest")), "wanted")
+    wanted = materialize(wanted.withColumn("h", F.xxhash64("digest")), "wanted", thin=True)
     source = docs.select("doc_id", _digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("bytes"))
     source = Bitmap(wanted.select("h"), "h").keep(source.withColumn("h", F.xxhash64("digest")), "h")
     on = source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["digest"] == wanted["digest"])
@@ -192,7 +192,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows = rows.withColumn("top", F.col("l_hi")).withColumn("r1", F.col("khash")).withColumn("r2", F.lit(0).cast("long")).drop("khash")
     for width in WIDTHS:
         more, rows = _round(rows, width, length, gram)
-        found.append(materialize(more, "repeats"))
+        found.append(materialize(more, "repeats", thin=True))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -213,7 +213,7 @@ def covered(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
 def _removal(length: int):
     def kernel(batch: pa.RecordBatch) -> dict:
         out: dict = {"digest": batch.column("digest"), "n_removed": [], "n_spans": [], "kept_sha256": []}
-        for text, starts in zip(batch.column("bytes").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+        for text, starts in zip(batch.column("bytes").to_pylist(), batch.column("starts", thin=True).to_pylist(), strict=True):
             runs = covered([(x["s_lo"], x["s_hi"]) for x in starts], length)
             kept, at = hashlib.sha256(), 0
             for a, b in runs:
@@ -235,17 +235,17 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         "doc_id", _digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")
     )
     thin = materialize(thin, "texts")
-    copies = materialize(thin.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("copied")), "copies")
+    copies = materialize(thin.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("copied")), "copies", thin=True)
     starts = repeated_windows(docs, length, gram).join(copies, "digest", "left_anti")
-    starts = starts.groupBy("digest").agg(F.collect_set(F.struct("s_lo", "s_hi")).alias("starts"))
-    starts = materialize(starts.withColumn("h", F.xxhash64("digest")), "starts")
+    starts = starts.groupBy("digest").agg(F.collect_set(F.struct("s_lo", "s_hi")).alias("starts", thin=True))
+    starts = materialize(starts.withColumn("h", F.xxhash64("digest")), "starts", thin=True)
     source = docs.select(_digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("bytes"))
     source = Bitmap(starts.select("h"), "h").keep(source.withColumn("h", F.xxhash64("digest")), "h").drop("h")
     schema = StructType(
         [StructField("digest", BinaryType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept_sha256", StringType())]
     )
     done = map_texts(source.join(starts.drop("h"), "digest"), _removal(length), schema, text="bytes")
-    done = materialize(done, "removals")
+    done = materialize(done, "removals", thin=True)
     empty = hashlib.sha256(b"").hexdigest()
     all_of = thin.join(copies, "digest", "left").join(done, "digest", "left")
     return all_of.select(
