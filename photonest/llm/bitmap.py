@@ -25,7 +25,7 @@ class Bitmap:
         words = keys.select(spot.alias("_s")).groupBy(F.expr("shiftrightunsigned(_s, 6)").alias("_word")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits")
         )
-        self.words = materialize(words, "bitmap")
+        self.words = materialize(words, "bitmap", thin=True)
 
     def keep(self, df: DataFrame, h: str) -> DataFrame:
         """The rows of ``df`` whose hash may be in the set."""

@@ -62,7 +62,7 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashed = hashed.withColumn("h", F.xxhash64("text_sha256")).withColumn("row", F.monotonically_increasing_id())
     hashed = materialize(hashed, "text-hashes")
     blocks = blocks_for(hashed.count())
-    bitmap = materialize(_marked_blocks(hashed, blocks), "bloom")
+    bitmap = materialize(_marked_blocks(hashed, blocks), "bloom", thin=True)
     block = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(blocks - 1))
     tested = (
         hashed.withColumn("b", block)
@@ -78,7 +78,7 @@ def duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = hits.groupBy("text_sha256").agg(
         F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")
     )
-    best = materialize(best, "groups")
+    best = materialize(best, "groups", thin=True)
     grouped = hits.join(best, "text_sha256").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", F.lit(True).alias("possibly_repeated"),
@@ -99,7 +99,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = plain.withColumn("_h", F.xxhash64("_sha"))
     hashed = materialize(plain.select("_id", "_sha", F.col("_h").alias("h")), "text-hashes")
     blocks = blocks_for(hashed.count())
-    bitmap = materialize(_marked_blocks(hashed, blocks), "bloom")
+    bitmap = materialize(_marked_blocks(hashed, blocks), "bloom", thin=True)
 
     def tested(rows: DataFrame, h: str) -> DataFrame:
         rows = rows.withColumn("_b", F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(blocks - 1)))
@@ -112,7 +112,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     keepers = tested(hashed, "h").where("_hit").groupBy("_sha").agg(
         F.max(F.struct("_id")).alias("k"), F.count("*").alias("n")
     )
-    keepers = materialize(keepers.select(F.col("_sha").alias("k_sha"), F.col("k._id").alias("k_id")), "keepers")
+    keepers = materialize(keepers.select(F.col("_sha").alias("k_sha"), F.col("k._id").alias("k_id")), "keepers", thin=True)
     rows = tested(plain, "_h")
     alone = rows.where("not _hit").select(*names)
     stay = rows.where("_hit").join(

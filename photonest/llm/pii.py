@@ -145,17 +145,17 @@ def instances(scanned: DataFrame) -> DataFrame:
 def vouched(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """``(kind, value)`` of instances that are no seeds but that confident patterns vouch for."""
     edges = found.select("kind", "value", "seed", F.explode("pats").alias("pat"))
-    edges = materialize(edges.groupBy("kind", "pat", "value").agg(F.max("seed").alias("seed")), "pattern-edges")
+    edges = materialize(edges.groupBy("kind", "pat", "value").agg(F.max("seed").alias("seed")), "pattern-edges", thin=True)
     belief = edges.select("kind", "pat", "value", "seed", F.col("seed").cast("double").alias("conf"))
     sure = None
     for i in range(rounds):
         scores = belief.groupBy("kind", "pat").agg(
             (F.sum("conf") / (F.count("*") + 0.5)).alias("score"), F.sum(F.col("seed").cast("long")).alias("seeds")
         )
-        scores = materialize(scores.where((F.col("seeds") >= least_seeds) & (F.col("score") >= least)).select("kind", "pat", "score"), "patterns")
+        scores = materialize(scores.where((F.col("seeds") >= least_seeds) & (F.col("score") >= least)).select("kind", "pat", "score"), "patterns", thin=True)
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.col("score"))))
         sure = edges.where("not seed").join(scores, ["kind", "pat"]).groupBy("kind", "value").agg((F.lit(1.0) - doubt).alias("c"))
-        sure = materialize(sure.where(F.col("c") >= least), "vouched")
+        sure = materialize(sure.where(F.col("c") >= least), "vouched", thin=True)
         if i + 1 < rounds:
             belief = edges.join(sure, ["kind", "value"], "left").select(
                 "kind", "pat", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("conf")
@@ -166,10 +166,10 @@ def vouched(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEE
 def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, counts of base spans, their digest, and all spans."""
     scanned = materialize(scan(df, id_col, text_col), "scanned")
-    found = materialize(instances(scanned), "instances")
+    found = materialize(instances(scanned), "instances", thin=True)
     more = found.where("not seed and not clash").join(vouched(found), ["kind", "value"])
     more = more.groupBy("row").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "a", "b")).cast(_SPAN).alias("more"))
-    joined = scanned.drop("runs").join(materialize(more, "added"), "row", "left")
+    joined = scanned.drop("runs").join(materialize(more, "added", thin=True), "row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
     count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
     return joined.select(

@@ -151,7 +151,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     counted = counted.withColumn("tile", key([F.col("q")[i] for i in range(4)]).cast("int"))
     # At most 17^4 tiles exist, so this table is bounded and may be broadcast.
     tiles = counted.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("parts"))
-    tiles = F.broadcast(materialize(tiles, "tiles"))
+    tiles = F.broadcast(materialize(tiles, "tiles", thin=True))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     residents = counted.join(tiles, "tile").select("tile", part.alias("part"), F.lit(0).alias("visits"), "fp")
     near = F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in _offsets(radius)]))
@@ -171,20 +171,20 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the smallest doc_id that links reach)."""
     prints = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    links = near_links(distinct.select("fp"), radius)
-    groups = materialize(connected_components(links), "components").withColumnRenamed("node", "fp")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", thin=True)
+    links = materialize(near_links(distinct.select("fp"), radius), "links", thin=True)
+    groups = materialize(connected_components(links), "components", thin=True).withColumnRenamed("node", "fp")
     named = distinct.join(groups, "fp", "left").withColumn("g", F.coalesce("component", "fp"))
     of_group = named.groupBy("g").agg(F.min("least").alias("component_id"))
-    of_group = materialize(of_group, "group-ids")
-    by_print = materialize(named.join(of_group, "g").select("fp", "component_id"), "print-ids")
+    of_group = materialize(of_group, "group-ids", thin=True)
+    by_print = materialize(named.join(of_group, "g").select("fp", "component_id"), "print-ids", thin=True)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with the smallest doc_id of their group (repeated rows of that doc_id all stay)."""
     keep = near_duplicate_classes(df, id_col, text_col).select("component_id").distinct()
-    keep = materialize(keep.withColumnRenamed("component_id", "_keep"), "kept-ids")
+    keep = materialize(keep.withColumnRenamed("component_id", "_keep"), "kept-ids", thin=True)
     return df.join(keep, df[id_col].cast("long") == F.col("_keep"), "left_semi")
 
 
