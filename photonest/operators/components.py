@@ -33,18 +33,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stars = materialize(
-        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", thin=True
     )
     seen = _mark(stars)
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialize(large.distinct(), "large-star")
+        large = materialize(large.distinct(), "large-star", thin=True)
         joined = _with_min(large)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             large.groupBy("u").agg(F.min("v").alias("v"))
         )
-        stars = materialize(small.where("u <> v").distinct(), "small-star")
+        stars = materialize(small.where("u <> v").distinct(), "small-star", thin=True)
         now = _mark(stars)
         if now == seen:
             break
