@@ -14,10 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Marks a word that has no space before it; a lone surrogate is in no UTF-8 text.
-BARE = "\ud800"
-
-
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of ``counts`` each, one run after another."""
     total = int(counts.sum())
@@ -33,73 +29,92 @@ class WordCache:
 
     def __init__(self, pattern: str, encode, most: int = 600_000) -> None:
         self.find, self.encode, self.most = regex.compile(pattern).findall, encode, most
-        self.number: dict[str, int] = {}
+        self.spaced, self.spaced_no = pa.array([], pa.string()), np.empty(0, dtype=np.int64)  # words after a space
+        self.bare: dict[str, int] = {}  # those without
         self.ids = np.empty(0, dtype=np.uint32)
         self.start, self.count, self.hits = (np.empty(0, dtype=np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.hits > 1)
-        if 2 * len(keep) > self.most:
-            keep = keep[:0]
-        kept = set(keep.tolist())
-        words = [w for w, i in self.number.items() if i in kept]
-        old = np.array([self.number[w] for w in words], dtype=np.int64)
-        self.number = dict(zip(words, range(len(words)), strict=True))
+        keep = self.hits > 1
+        if 2 * int(keep.sum()) > self.most:
+            keep[:] = False
+        old = np.flatnonzero(keep)
+        new_no = np.cumsum(keep) - 1
+        stays = keep[self.spaced_no]
+        self.spaced, self.spaced_no = self.spaced.filter(pa.array(stays)), new_no[self.spaced_no[stays]]
+        self.bare = {w: int(new_no[i]) for w, i in self.bare.items() if keep[i]}
         self.count, starts = self.count[old], self.start[old]
         self.ids = self.ids[ragged(starts, self.count)]
         self.start = np.cumsum(self.count) - self.count
-        self.hits = np.zeros(len(words), dtype=np.int64)
+        self.hits = np.zeros(len(old), dtype=np.int64)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of new words."""
+        base = len(self.count)
+        ids, counts = self.encode(words)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+        return np.arange(base, base + len(words))
+
+    def _spaced_numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words that follow a space, those not yet known being encoded."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.spaced), -1).to_numpy()
+        number = np.full(len(words), -1, dtype=np.int64)
+        known = place >= 0
+        number[known] = self.spaced_no[place[known]]
+        if not known.all():
+            new = words.filter(pa.array(~known))
+            number[~known] = self._learn([" " + w for w in new.to_pylist()])
+            self.spaced = pa.concat_arrays([self.spaced, new])
+            self.spaced_no = np.concatenate([self.spaced_no, number[~known]])
+        self.hits[number] += 1
+        return number
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words, those not yet known being encoded."""
-        known = self.number
-        new = [w for w in words if w not in known]
+    def _bare_numbers(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.bare]
         if new:
-            ids, counts = self.encode([w[1:] if w[:1] == BARE else " " + w for w in new])
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
-            self.count = np.concatenate([self.count, counts])
-            self.hits = np.concatenate([self.hits, np.zeros(len(new), dtype=np.int64)])
-            self.ids = np.concatenate([self.ids, ids])
-        at = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        self.hits[at] += 1
-        return at
+            self.bare.update(zip(new, self._learn(new).tolist(), strict=True))
+        number = np.fromiter(map(self.bare.__getitem__, words), dtype=np.int64, count=len(words))
+        self.hits[number] += 1
+        return number
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has. Null is empty."""
-        if len(self.number) > self.most:
+        if len(self.count) > self.most:
             self._forget()
         texts = pc.fill_null(texts, "")
         split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary
         index = words.indices.to_numpy().astype(np.int64)
         size = pc.list_value_length(split).to_numpy().astype(np.int64)
         ends = np.cumsum(size)
         first = ends - size
         doc = np.repeat(np.arange(len(size)), size)
         # White space after a space: the whole text is split by the pattern.
-        head = pc.utf8_slice_codeunits(words.dictionary, 0, 1)
+        head = pc.utf8_slice_codeunits(distinct, 0, 1)
         odd = pc.or_(pc.utf8_is_space(head), pc.equal(head, "")).to_numpy(zero_copy_only=False)[index]
         odd[first] = False
         by_pattern = np.unique(doc[odd])
         rest = np.ones(len(index), dtype=bool)
         rest[first] = False
-        rest &= ~np.isin(doc, by_pattern)
+        if len(by_pattern):
+            rest &= ~np.isin(doc, by_pattern)
         number = np.zeros(len(distinct), dtype=np.int64)
-        used = np.unique(index[rest])
-        number[used] = self._numbers([distinct[i] for i in used.tolist()])
+        wanted = np.zeros(len(distinct), dtype=bool)
+        wanted[index[rest]] = True
+        used = np.flatnonzero(wanted)
+        number[used] = self._spaced_numbers(distinct.take(pa.array(used)))
         at, of = number[index[rest]], doc[rest]
         # First words, and the pieces of texts split by the pattern.
-        skip = set(by_pattern.tolist())
-        bare = [[BARE + w] if w else [] for w in (distinct[i] for i in index[first].tolist())]
-        for i in skip:
-            bare[i] = [BARE + p for p in self.find(texts[i].as_py())]
+        bare = [[w] if w else [] for w in distinct.take(pa.array(index[first])).to_pylist()]
+        for i in by_pattern.tolist():
+            bare[i] = self.find(texts[i].as_py())
         flat = list(chain.from_iterable(bare))
         if flat:
-            seen = list(dict.fromkeys(flat))
-            by_word = dict(zip(seen, self._numbers(seen).tolist(), strict=True))
-            at = np.concatenate([np.fromiter(map(by_word.__getitem__, flat), dtype=np.int64, count=len(flat)), at])
+            at = np.concatenate([self._bare_numbers(flat), at])
             of = np.concatenate([np.repeat(np.arange(len(bare)), list(map(len, bare))), of])
             order = np.argsort(of, kind="stable")  # a first word comes before the others of its text
             at, of = at[order], of[order]

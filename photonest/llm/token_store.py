@@ -63,9 +63,11 @@ def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     """Ends of the chunks of each document, as positions in ``ids``; ``ends`` are the documents' ends."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolled = mixed.copy()
-    for back in range(1, min(WINDOW, len(ids))):
-        rolled[back:] += mixed[:-back] << np.uint64(2 * back)
+    rolled, span = mixed, 1
+    while span < WINDOW:  # sums over 2, 4, ... ids, the older half turned so that order counts
+        older = rolled[:-span] * np.uint64(0xD6E8FEB86659FD93)
+        rolled[span:] += older ^ (older >> np.uint64(32))
+        span *= 2
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     places = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1).tolist()
     out, i, start = [], 0, 0
