@@ -28,6 +28,9 @@ from photonest.llm.common import map_texts, table
 from photonest.llm.pieces import WordCache, ragged
 
 NEVER = np.int64(1 << 40)
+DECODED = StructType(
+    [StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+)
 
 
 class Merges:
@@ -157,7 +160,7 @@ class Merges:
 def codec(path: str, pattern: str) -> tuple[Merges, WordCache]:
     """One per worker and rank file."""
     merges = Merges(path, pattern)
-    return merges, WordCache(pattern, merges.encode_words)
+    return merges, WordCache(pattern, merges.encode_words, most=400_000)
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -174,10 +177,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded, decoded_sha256)`` of encoded documents."""
-    schema = StructType(
-        [StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
-    )
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of encoded documents."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
         merges = codec(path, pattern)[0]
@@ -189,7 +189,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             "decoded_sha256": [hashlib.sha256(merges.decode(np.frombuffer(x, dtype="<u4"))).hexdigest() for x in raw],
         }
 
-    return map_texts(encoded, kernel, schema, text="ids")
+    return map_texts(encoded, kernel, DECODED, text="ids")
 
 
 def tokenizer_file(name: str) -> tuple[str, str]:
@@ -200,8 +200,22 @@ def tokenizer_file(name: str) -> tuple[str, str]:
 
 
 def bpe_round_trip(df: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts encoded, and decoded again from the ids, in one pass."""
     path, pattern = tokenizer_file(vocabulary)
-    return decode_ids(encode_texts(df, path, pattern), path, pattern)
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        merges, cache = codec(path, pattern)
+        ids, counts = cache.encode_texts(batch.column("text"))
+        ends = np.cumsum(counts).tolist()
+        parts = [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+        return {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": pa.array(counts),
+            "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in parts],
+            "decoded_sha256": [hashlib.sha256(merges.decode(x)).hexdigest() for x in parts],
+        }
+
+    return map_texts(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, DECODED, limit=4 << 20)
 
 
 def op6_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

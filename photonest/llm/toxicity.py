@@ -65,9 +65,9 @@ def toxic_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     lesser feature).
     """
     base = Counter(f for words in clean for f in {f for w in set(words) for f in features(w)})
-    by_doc = [{f for w in set(words) for f in features(w)} for words in toxic]
-    seen = Counter(f for found in by_doc for f in found)
+    seen = Counter(f for words in toxic for f in {f for w in set(words) for f in features(w)})
     likely = {f for f, k in seen.items() if k >= 3 and base[f] <= 0.03 * k}
+    by_doc = [{f for w in set(words) for f in features(w) if f in likely} for words in toxic]
     around: dict[str, set] = {f: set() for f in likely}
     for words in toxic:
         for i, w in enumerate(words):
@@ -77,7 +77,7 @@ def toxic_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     support = {f: min(seen[f], len(around[f])) for f in likely}
     n, m = len(toxic), len(clean)
     sure = {f for f in likely if support[f] >= 5 and _ratio_test(support[f], n, base[f], m) >= SURE_TEST}
-    left = [found & likely for found in by_doc if not found & sure]
+    left = [found for found in by_doc if not found & sure]
     while left:
         now = Counter(f for found in left for f in found if support[f] >= 3 and not base[f])
         tests = [(_ratio_test(min(k, support[f]), len(left), 0, m), len(f), f) for f, k in now.items() if k >= 3]
