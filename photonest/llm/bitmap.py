@@ -27,6 +27,15 @@ class Bitmap:
         )
         self.words = materialize(words, "bitmap", thin=True)
 
+    def split(self, df: DataFrame, h: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of ``df`` whose hash may be in the set, and those whose hash is not; a null hash is not."""
+        cols = df.columns
+        spot = F.col(h).bitwiseAND(F.lit(self.bits - 1))
+        marked = df.withColumn("_s", spot).withColumn("_word", F.expr("shiftrightunsigned(_s, 6)"))
+        marked = marked.join(F.broadcast(self.words), "_word", "left")
+        hit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1, 0) = 1")
+        return marked.where(hit).select(*cols), marked.where(~hit).select(*cols)
+
     def keep(self, df: DataFrame, h: str) -> DataFrame:
         """The rows of ``df`` whose hash may be in the set."""
         cols = df.columns

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from photonest.llm.bitmap import Bitmap
 from photonest.llm.common import map_texts, table, utf8
 from photonest.operators.components import connected_components
 from photonest.session import materialize
@@ -182,10 +183,21 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest doc_id of their group (repeated rows of that doc_id all stay)."""
-    keep = near_duplicate_classes(df, id_col, text_col).select("component_id").distinct()
-    keep = materialize(keep.withColumnRenamed("component_id", "_keep"), "kept-ids", thin=True)
-    return df.join(keep, df[id_col].cast("long") == F.col("_keep"), "left_semi")
+    """The rows of ``df`` with the smallest doc_id of their group (repeated rows of that doc_id all stay).
+
+    Only rows whose id may be among those to go (a broadcast bitmap tells) move to be looked up; the rest
+    pass in place. A row without an id stays.
+    """
+    classes = materialize(near_duplicate_classes(df, id_col, text_col), "near-classes")
+    kept = classes.select(F.col("component_id").alias("doc_id")).distinct()
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.xxhash64("doc_id").alias("_h")), "gone-ids", thin=True)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    own = F.col(names[df.columns.index(id_col)]).cast("long")
+    rows = df.toDF(*names).withColumn("_h", F.xxhash64(own))
+    maybe, stay = Bitmap(gone, "_h").split(rows, "_h")
+    maybe = maybe.join(gone.select("_gone"), own == F.col("_gone"), "left_anti")
+    return stay.select(*names).unionByName(maybe.select(*names)).toDF(*df.columns)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
