@@ -215,7 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         saliency_and_hash, dms_to_degrees, exif_timestamp_parse, photo_ids, global_row_numbers, geocode_label_pick, final_pipeline, run_summary,
     )
 } | {
-    "laplacian_variance": _measure("laplacian_variance", "sharpness"),
+    "laplacian_variance": _measure("sharpness"),
     "exposure": _measure("brightness", "contrast", "clipping", "exposure_penalty"),
     "colorfulness": _measure("colorfulness"),
     "color_cast": _measure("color_cast"),
@@ -401,7 +401,7 @@ SELECT idx, round(CASE WHEN k IS NULL OR (SELECT max(k) FROM k) <= 1 THEN 0.5::D
     "laplacian_variance": f"""WITH {_PIX}, lap AS (
   SELECT c.img_id, u.l + d.l + w.l + e2.l - 4 * c.l AS v FROM gr c JOIN gr u ON u.img_id = c.img_id AND u.x = c.x AND u.y = c.y - 1 JOIN gr d ON d.img_id = c.img_id AND d.x = c.x AND d.y = c.y + 1
   JOIN gr w ON w.img_id = c.img_id AND w.y = c.y AND w.x = c.x - 1 JOIN gr e2 ON e2.img_id = c.img_id AND e2.y = c.y AND e2.x = c.x + 1)
-SELECT img_id, round(var_pop(v), 9) AS laplacian_variance, round(greatest(0, least(1, ln(1 + var_pop(v)) / ln(1501))), 9) AS sharpness FROM lap GROUP BY img_id""",
+SELECT img_id, round(greatest(0, least(1, ln(1 + var_pop(v)) / ln(1501))), 9) AS sharpness FROM lap GROUP BY img_id""",
     "exposure": f"""WITH {_PIX}, m AS (SELECT img_id, avg(l) / 255 AS b, least(1, stddev_pop(l) / 127.5) AS c, avg(CASE WHEN l <= 8 OR l >= 247 THEN 1.0 ELSE 0.0 END) AS k FROM gr GROUP BY img_id)
 SELECT img_id, round(b, 9) AS brightness, round(c, 9) AS contrast, round(k, 9) AS clipping, round(0.5 * least(1, abs(b - 0.5) / 0.5) + 0.5 * least(1, 4 * k), 9) AS exposure_penalty FROM m""",
     "colorfulness": f"""WITH {_PIX} SELECT img_id, round(greatest(0, least(1, (sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.3 * sqrt(pow(avg(r - g), 2) + pow(avg(0.5 * (r + g) - b), 2))) / 90)), 9) AS colorfulness FROM px GROUP BY img_id""",
