@@ -85,3 +85,24 @@ def test_dms(spark):
     df = spark.createDataFrame([([48.0, 51.0, 30.0], "N"), ([2.0, 30.0, 0.0], " w"), ([1.0], "S"), (None, None)], "d array<double>, r string")
     got = [r[0] for r in df.select(X.dms_to_degrees(F.col("d"), F.col("r"))).collect()]
     assert got == [pytest.approx(48.8583333333), -2.5, None, None]
+
+
+def test_images_are_scanned_and_decoded(spark, tmp_path):
+    from photonest.sources.images import load_images, scan_images
+
+    def bmp(rgb):
+        h, w, _ = rgb.shape
+        body = b"".join(row[:, ::-1].tobytes() + bytes(-3 * w % 4) for row in rgb[::-1])
+        head = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little")
+        info = (40).to_bytes(4, "little") + w.to_bytes(4, "little") + h.to_bytes(4, "little") + b"\x01\x00\x18\x00" + bytes(4) + len(body).to_bytes(4, "little") + bytes(16)
+        return head + info + body
+
+    rgb = np.random.default_rng(3).integers(0, 256, (5, 6, 3)).astype(np.uint8)
+    (tmp_path / "a").mkdir()
+    for name in ("a/z.BMP", "a-b.bmp"):
+        (tmp_path / name).write_bytes(bmp(rgb))
+    (tmp_path / "note.txt").write_text("x")
+    found = scan_images(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in found] == ["z.BMP", "a-b.bmp"] and len({r["id"] for r in found}) == 2
+    for r in load_images(spark, str(tmp_path)).collect():
+        assert np.array_equal(np.array(r["rgb"]).reshape(5, 6, 3), rgb)
