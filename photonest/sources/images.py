@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +20,34 @@ def path_order(path: Column) -> list[Column]:
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     """``(id, idx, path, length)`` of the image files under ``folder``, idx from 0 in path order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(plain_path(F.col("path")).alias("path"), "length")
     files = files.where(F.col("path").rlike(EXTENSIONS)).withColumn("id", photo_id(F.col("path")))
     placed = numbered(files, path_order(F.col("path")), "n")
     return placed.select("id", (F.col("n") - 1).alias("idx"), "path", "length")
 
 
-def load_images(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """``(path, height, width, rgb)`` of decodable images, rgb flat and row by row.
+def plain_path(path: Column) -> Column:
+    """A local path without its scheme, as the binary source writes it."""
+    return F.regexp_replace(path, "^file:(//)?", "")
 
-    ``strict``: a file that cannot be decoded raises an error; else it is left out. Gray images give equal
-    channels, an alpha channel is dropped. WEBP has no reader here and counts as undecodable.
+
+def unescaped(origin: Column) -> Column:
+    """The image source writes escaped addresses, the binary source plain ones."""
+    return F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
+
+
+def load_images(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """``(path, height, width, channels, data)`` of image files, data as Spark's image source gives it.
+
+    Files that cannot be decoded (WEBP has no reader here) have height -1; ``rgb_of`` turns the rest into arrays.
     """
-    raw = spark.read.format("image").option("dropInvalid", not strict).option("recursiveFileLookup", True).load(folder)
-    raw = raw.select("image.*").where(F.col("origin").rlike(EXTENSIONS))
-    bad = F.raise_error(F.concat(F.lit("cannot decode "), F.col("origin")))
-    n = F.col("nChannels")
-    byte = lambda i: F.conv(F.hex(F.substring("data", i + 1, F.lit(1))), 16, 10).cast("int")
-    pixel = lambda p: F.when(n == 1, F.array(byte(p), byte(p), byte(p))).otherwise(F.array(byte(p * n + 2), byte(p * n + 1), byte(p * n)))
-    rgb = F.flatten(F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), pixel))
-    return raw.select(F.col("origin").alias("path"), "height", "width", F.when(F.col("height") > 0, rgb).otherwise(bad).alias("rgb"))
+    reader = spark.readStream if stream else spark.read
+    raw = reader.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder).select("image.*")
+    raw = raw.withColumn("path", plain_path(unescaped(F.col("origin")))).where(F.col("path").rlike(EXTENSIONS))
+    return raw.select("path", "height", "width", F.col("nChannels").alias("channels"), "data")
+
+
+def rgb_of(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """[height, width, 3]: gray gives equal channels, alpha is dropped."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[..., 2::-1]
