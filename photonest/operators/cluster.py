@@ -50,13 +50,16 @@ def same_moment(seconds: float = 120.0, metres: float = 100.0, bits: int = 10) -
     return F.coalesce(near_time & F.when(both, near).otherwise(True), F.lit(False)) | F.coalesce(alike, F.lit(False))
 
 
-def moment_edges(photos: DataFrame, **config) -> DataFrame:
-    return candidate_pairs(photos, **config).where(same_moment()).select(F.col("a.idx").alias("src"), F.col("b.idx").alias("dst"))
+def moment_edges(photos: DataFrame, seconds: float = 120.0, metres: float = 100.0, bits: int = 10, window: int = 40) -> DataFrame:
+    return candidate_pairs(photos, window, seconds).where(same_moment(seconds, metres, bits)).select(F.col("a.idx").alias("src"), F.col("b.idx").alias("dst"))
 
 
-def moments(photos: DataFrame) -> DataFrame:
-    """``(id, idx, ts, moment_no, moment_id)``; moments are numbered by first time, then first index."""
-    edges = materialize(moment_edges(photos), "moment-edges")
+def moments(photos: DataFrame, **limits) -> DataFrame:
+    """``(id, idx, ts, moment_no, moment_id)``; moments are numbered by first time, then first index.
+
+    ``limits`` are those of ``moment_edges``.
+    """
+    edges = materialize(moment_edges(photos, **limits), "moment-edges")
     roots = connected_components(edges).withColumnRenamed("node", "idx")
     rows = photos.select("id", "idx", "ts").join(roots, "idx", "left").withColumn("root", F.coalesce("component", "idx")).drop("component")
     rows = materialize(rows, "moment-rows")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from photonest.functions.expressions import photo_id
 from photonest.operators.order import numbered
 
-# The supported extensions.
+# The supported extensions, and the row of Spark's image source.
 EXTENSIONS = r"(?i)\.(jpe?g|png|tiff?|bmp|webp)$"
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
 def path_order(path: Column) -> list[Column]:
@@ -42,7 +43,7 @@ def load_images(spark: SparkSession, folder: str, stream: bool = False) -> DataF
     Files that cannot be decoded (WEBP has no reader here) have height -1; ``rgb_of`` turns the rest into arrays.
     """
     reader = spark.readStream if stream else spark.read
-    raw = reader.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder).select("image.*")
+    raw = reader.format("image").schema(IMAGE).option("dropInvalid", False).option("recursiveFileLookup", True).load(folder).select("image.*")
     raw = raw.withColumn("path", plain_path(unescaped(F.col("origin")))).where(F.col("path").rlike(EXTENSIONS))
     return raw.select("path", "height", "width", F.col("nChannels").alias("channels"), "data")
 
