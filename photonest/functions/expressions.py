@@ -111,6 +111,21 @@ def _face(face: Column) -> Column:
     return face["confidence"] * area * centred * (1.0 - cropped)
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """Shared area of two boxes over the area of their union; 0 if that is empty."""
+    side = lambda at, size: F.greatest(F.lit(0.0), F.least(a[at] + a[size], b[at] + b[size]) - F.greatest(a[at], b[at]))
+    shared = side("x", "width") * side("y", "height")
+    union = a["width"] * a["height"] + b["width"] * b["height"] - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
+
+
+def distinct_faces(faces: Column, limit: float = 0.4) -> Column:
+    """Faces, most confident first, that overlap no better kept face by more than ``limit``."""
+    ranked = F.array_sort(faces, lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0))
+    clash = lambda kept, f: F.exists(kept, lambda k: overlap(k, f) > limit)
+    return F.aggregate(ranked, F.slice(faces, 1, 0), lambda kept, f: F.when(clash(kept, f), kept).otherwise(F.concat(kept, F.array(f))))
+
+
 def people_score(faces: Column) -> Column:
     n = F.coalesce(F.size(faces), F.lit(0))
     mean = F.aggregate(faces, F.lit(0.0), lambda s, x: s + _face(x)) / n

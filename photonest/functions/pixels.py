@@ -12,7 +12,9 @@ DARK, BRIGHT = 8, 247
 
 
 def gray(rgb: np.ndarray) -> np.ndarray:
-    return rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    # Elementwise, not as a matrix product, whose last digits (later truncated) differ between machines.
+    r, g, b = (rgb[..., i].astype(np.float64) for i in range(3))
+    return 0.299 * r + 0.587 * g + 0.114 * b
 
 
 def _unit(x: float) -> float:

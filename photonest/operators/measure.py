@@ -17,13 +17,16 @@ MEASURES = ("laplacian_variance", "sharpness", "brightness", "contrast", "clippi
 SCHEMA = StructType([StructField("img_id", LongType()), *[StructField(m, DoubleType()) for m in MEASURES], StructField("phash", LongType())])
 
 
-def measure_images(images: DataFrame) -> DataFrame:
-    """``images(img_id, height, width, rgb)``, rgb flat and row by row, to one row of measures each."""
+def measure_images(images: DataFrame, map_size: int = 64) -> DataFrame:
+    """``images(img_id, height, width, rgb)``, rgb flat and row by row, to one row of measures each.
+
+    ``map_size`` is the side of the saliency map.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes = zip(batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)
-            rows = [measure(np.asarray(px.as_py(), dtype=np.uint8).reshape(h, w, 3)) for px, (h, w) in zip(batch.column("rgb"), shapes, strict=True)]
+            rows = [measure(np.asarray(px.as_py(), dtype=np.uint8).reshape(h, w, 3), map_size) for px, (h, w) in zip(batch.column("rgb"), shapes, strict=True)]
             columns = [batch.column("img_id").cast(pa.int64()), *[pa.array([r[m] for r in rows], pa.float64()) for m in MEASURES], pa.array([r["phash"] for r in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=SCHEMA.names)
 

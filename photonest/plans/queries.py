@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,9 @@ from photonest.operators import cluster, select
 from photonest.operators.measure import measure_images
 from photonest.operators.order import numbered, percentile_ranks
 from photonest.plans import adapters as A
-from photonest.plans.curation import curate, scored_photos, summary
+from photonest.plans.curation import Curation, curate, scored_photos, summary
+from photonest.session import materialize
+from photonest.sinks import report
 
 TARGET = 100
 r9 = lambda c: F.round(c, 9)
@@ -161,6 +165,14 @@ def saliency_and_hash(spark: SparkSession, sf: str) -> DataFrame:
     return _images(spark, sf).select("img_id", F.round("subject_isolation", 6).alias("subject_isolation"), "phash")
 
 
+def saliency_8(spark: SparkSession, sf: str) -> DataFrame:
+    return measure_images(A.images(spark, sf), 8).select("img_id", F.round("subject_isolation", 6).alias("subject_isolation"))
+
+
+def perceptual_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _images(spark, sf).select("img_id", "phash")
+
+
 def dms_to_degrees(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
     dms = F.when(u % 5 != 4, F.array((u % 90).cast("double"), (u * 7 % 60).cast("double"), (u * 13 % 6000) / 100.0))
@@ -206,6 +218,42 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return summary(curate(_feats(spark, sf), TARGET))
 
 
+def distinct_faces(spark: SparkSession, sf: str) -> DataFrame:
+    kept = X.distinct_faces(F.col("faces"))
+    sure = F.aggregate("kept", F.lit(0.0), lambda s, f: s + f["confidence"])
+    return _feats(spark, sf).select("idx", kept.alias("kept")).select("idx", F.size("kept").cast("long").alias("n"), r9(sure).alias("confidence"))
+
+
+def named_places(spark: SparkSession, sf: str) -> DataFrame:
+    from photonest.sources.geocode import name_places
+
+    def lookup(lat: float, lon: float) -> str | None:
+        x, y = math.floor(lat * 100 + 0.2371), math.floor(lon * 100 + 0.2371)
+        status = "ZERO_RESULTS" if x % 4 == 0 else "OK"
+        return json.dumps({"status": status, "results": [{"formatted_address": "land", "types": ["country"]}, {"formatted_address": f"{x}/{y}", "types": ["locality"]}]})
+
+    shots = materialize(A.photos(spark, sf), "shots")
+    return name_places(materialize(cluster.places(shots), "places"), shots, lookup)
+
+
+def _run(spark: SparkSession, sf: str) -> Curation:
+    return curate(_feats(spark, sf), TARGET)
+
+
+def moment_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report.moment_table(_run(spark, sf)).select("moment_id", "photo_count", "representative_count", "first_id")
+
+
+def place_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report.place_table(_run(spark, sf)).select("place_id", "photo_count", "selected_count", "first_idx")
+
+
+def selected_report(spark: SparkSession, sf: str) -> DataFrame:
+    scores = [r9(c).alias(c) for c in report.SCORES]
+    taken, rank = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("rank").cast("long")
+    return report.selected_table(_run(spark, sf)).select("id", rank.alias("rank"), taken.alias("taken"), "place_id", *scores, F.array_join("reasons", "|").alias("reasons"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -213,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         people_score, expression_factor, composite, reasons_top4, moment_candidate_pairs, moment_edges, moments, places,
         time_sessions, scenic_scores, representatives, candidates_filled, day_quotas, diverse_selection, places_summary,
         saliency_and_hash, dms_to_degrees, exif_timestamp_parse, photo_ids, global_row_numbers, geocode_label_pick, final_pipeline, run_summary,
+        saliency_8, perceptual_hash, distinct_faces, named_places, moment_report, place_report, selected_report,
     )
 } | {
     "laplacian_variance": _measure("sharpness"),
@@ -352,6 +401,26 @@ c AS (SELECT img_id, CASE WHEN y < 2 THEN 0 WHEN y < 5 THEN 1 ELSE 2 END AS cy,
 p AS (SELECT img_id, cy, cx, s / sum(s) OVER (PARTITION BY img_id) AS q FROM c)
 SELECT img_id, round(greatest(0, least(1, 0.6 * least(1, sum(CASE WHEN cy <> 1 AND cx <> 1 THEN q ELSE 0 END) / 0.55)
   + 0.4 * greatest(0, least(1, (1 + sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(9)) / 0.03)))), 9) AS composition FROM p GROUP BY img_id"""
+_BOX3 = "(SELECT {t}.img_id, {t}.y, {t}.x, sum(n.{v}) / 9 AS {v} FROM {t}, range(-1, 2) a(dy), range(-1, 2) b(dx), {t} n WHERE n.img_id = {t}.img_id AND n.y = greatest(0, least(7, {t}.y + dy)) AND n.x = greatest(0, least(7, {t}.x + dx)) GROUP BY ALL)".format
+_TURN = "2 * pi() * (a.y * b.y + a.x * b.x) / 8"
+_SALIENCY = f"""WITH {_PIX.replace('0.299 * r + 0.587 * g + 0.114 * b', '0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b')},
+cell AS (SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i)),
+ft AS (SELECT img_id, b.y, b.x, sum(l * cos({_TURN})) AS re, -sum(l * sin({_TURN})) AS im FROM gr a, cell b GROUP BY ALL),
+lg AS (SELECT *, ln(sqrt(re * re + im * im) + 1e-8) AS v FROM ft),
+rs AS (SELECT lg.img_id, lg.y, lg.x, exp(lg.v - s.v) * re / sqrt(re * re + im * im) AS re, exp(lg.v - s.v) * im / sqrt(re * re + im * im) AS im
+  FROM lg JOIN {_BOX3(t='lg', v='v')} s USING (img_id, y, x)),
+bk AS (SELECT img_id, b.y, b.x, pow(sum(re * cos({_TURN}) - im * sin({_TURN})) / 64, 2) + pow(sum(re * sin({_TURN}) + im * cos({_TURN})) / 64, 2) AS v FROM rs a, cell b GROUP BY ALL),
+sm AS (SELECT img_id, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS s FROM {_BOX3(t='bk', v='v')} WINDOW w AS (PARTITION BY img_id)),
+gd AS (SELECT a.img_id, a.y, a.x, floor(least(255, abs(coalesce(h.l, a.l) - a.l) + abs(coalesce(v.l, a.l) - a.l))) AS m FROM gr a
+  LEFT JOIN gr h ON h.img_id = a.img_id AND h.y = a.y AND h.x = a.x + 1 LEFT JOIN gr v ON v.img_id = a.img_id AND v.x = a.x AND v.y = a.y + 1),
+z AS (SELECT img_id, s, m, s / sum(s) OVER (PARTITION BY img_id) AS p FROM sm JOIN {_BOX3(t='gd', v='m')} USING (img_id, y, x))
+SELECT img_id, round(greatest(0, least(1, (greatest(0, least(1, 1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(64))) + (corr(s, m) + 1) / 2) / 2)), 6) AS subject_isolation FROM z GROUP BY img_id"""
+_HASH = f"""WITH {_PIX}, luma AS (SELECT img_id, y, x, ((r * 19595 + g * 38470 + b * 7471 + 32768)::BIGINT >> 16) AS l FROM px),
+k AS (SELECT j, x, CASE WHEN abs(d) < 1e-12 THEN 1.0::DOUBLE WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0.0::DOUBLE END AS w
+  FROM (SELECT j, x, x + 0.5::DOUBLE - (j + 0.5::DOUBLE) * 8 / 9 AS d FROM range(9) t(j), range(8) u(x))),
+row9 AS (SELECT img_id, y, j, round(greatest(0, least(255, sum(l * w) / sum(w)))) AS v FROM luma JOIN k USING (x) GROUP BY ALL),
+bits AS (SELECT a.img_id, sum(CASE WHEN a.v > b.v THEN (1::HUGEINT << (63 - (8 * a.y + a.j))::INT) ELSE 0 END) AS h FROM row9 a JOIN row9 b ON b.img_id = a.img_id AND b.y = a.y AND b.j = a.j + 1 GROUP BY a.img_id)
+SELECT img_id, (h - CASE WHEN h >= (1::HUGEINT << 63) THEN (1::HUGEINT << 64) ELSE 0 END)::BIGINT AS phash FROM bits"""
 _REASONS = [
     "CASE WHEN n > 0 THEN CASE WHEN eyes < 0.4 THEN {'p': -3.5, 'o': 0, 't': 'eyes look closed in at least one face — likely a blink frame'} WHEN ppl >= 0.6 THEN {'p': -3.0, 'o': 0, 't': n || ' well-framed face(s) — strong people shot'} ELSE {'p': -1.5, 'o': 0, 't': n || ' face(s) detected, but small or off-center'} END END",
     "CASE WHEN scenic >= 0.7 THEN {'p': -2.5, 'o': 1, 't': 'taken at a frequently-revisited location — likely a trip highlight'} WHEN scenic <= 0.35 AND scenic > 0 THEN {'p': -0.5, 'o': 1, 't': 'taken at a one-off spot, not a major trip focal point'} END",
@@ -415,4 +484,19 @@ SELECT img_id, round(b, 9) AS brightness, round(c, 9) AS contrast, round(k, 9) A
     "geocode_label_pick": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN NULL WHEN n_nationkey % 4 IN (1, 2) THEN n_name ELSE r_name END AS label FROM nation JOIN region ON n_regionkey = r_regionkey",
     "final_pipeline": _FINAL + "SELECT id, round(composite, 9) AS composite, place_id, rank FROM chosen",
     "run_summary": _FINAL + "SELECT (SELECT count(*) FROM photos) AS total_photos, (SELECT count(DISTINCT moment_no) FROM moments) AS moments, (SELECT count(DISTINCT place_id) FROM places) AS places, (SELECT count(*) FROM chosen) AS selected",
+    "distinct_faces": f"""WITH {_PHOTOS}, {_FACES}, o AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY conf DESC, f) AS k FROM faces),
+s AS (SELECT a.idx, a.k AS a, b.k AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.hh, b.y + b.hh) - greatest(a.y, b.y)) AS i, a.w * a.hh + b.w * b.hh AS t FROM o a JOIN o b ON a.idx = b.idx AND a.k < b.k),
+c AS (SELECT idx, a, b FROM s WHERE i / (t - i) > 0.4::DOUBLE),
+kept AS (SELECT o.* FROM o WHERE k = 1 OR NOT EXISTS (SELECT 1 FROM c WHERE c.idx = o.idx AND c.b = o.k AND (c.a = 1 OR NOT EXISTS (SELECT 1 FROM c c1 WHERE c1.idx = o.idx AND c1.a = 1 AND c1.b = c.a))))
+SELECT p.idx, count(k) AS n, round(coalesce(sum(conf), 0), 9) AS confidence FROM photos p LEFT JOIN kept USING (idx) GROUP BY p.idx""",
+    "named_places": f"""WITH RECURSIVE {_PHOTOS}, {_PLACES}, centres AS (SELECT place_id, avg(lat) AS lat, avg(lon) AS lon FROM places JOIN photos USING (idx) WHERE lat IS NOT NULL GROUP BY place_id),
+asked AS (SELECT round(lat, 3) AS a, round(lon, 3) AS o, arg_min(floor(lat * 100 + 0.2371::DOUBLE)::BIGINT, place_id) AS x, arg_min(floor(lon * 100 + 0.2371::DOUBLE)::BIGINT, place_id) AS y FROM centres GROUP BY ALL)
+SELECT place_id, x || '/' || y AS name FROM centres JOIN asked ON round(lat, 3) = a AND round(lon, 3) = o WHERE x % 4 <> 0""",
+    "moment_report": _FINAL + "SELECT moment_id, count(*) AS photo_count, count(r.id) AS representative_count, arg_min(p.id, (p.ts IS NULL, p.ts, p.idx)) AS first_id FROM moments m JOIN photos p USING (idx) LEFT JOIN reps r ON r.id = m.id GROUP BY moment_id",
+    "place_report": _FINAL + "SELECT p.place_id, count(*) AS photo_count, count(c.id) AS selected_count, min(p.idx) AS first_idx FROM places p LEFT JOIN chosen c ON c.id = p.id GROUP BY p.place_id",
+    "selected_report": _FINAL + f""", ladder AS ({_LADDER}), why AS (SELECT idx, string_agg(t, '|' ORDER BY p, o) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY p, o) AS k FROM ladder) WHERE k <= 4 GROUP BY idx)
+SELECT c.id, c.rank, strftime(c.ts, '%Y-%m-%d %H:%M:%S') AS taken, c.place_id, round(c.composite, 9) AS composite, round(s.ppl, 9) AS people, round(s.scenic, 9) AS scenic, round(s.appeal, 9) AS appeal,
+  round(s.gate, 9) AS printability, coalesce(reasons, 'average technical quality across the board') AS reasons FROM chosen c JOIN scored s USING (id) LEFT JOIN why USING (idx)""",
+    "saliency_8": _SALIENCY,
+    "perceptual_hash": _HASH,
 }
