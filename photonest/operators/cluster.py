@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from photonest.functions.expressions import EARTH_METRES, hamming, haversine
-from photonest.operators.components import connected_components
+from photonest.operators.components import connected_components, contracted
 from photonest.operators.order import numbered
 from photonest.session import materialize
 
@@ -59,7 +59,7 @@ def moments(photos: DataFrame, **limits) -> DataFrame:
 
     ``limits`` are those of ``moment_edges``.
     """
-    edges = materialize(moment_edges(photos, **limits), "moment-edges")
+    edges = materialize(contracted(moment_edges(photos, **limits)), "moment-edges")
     roots = connected_components(edges).withColumnRenamed("node", "idx")
     rows = photos.select("id", "idx", "ts").join(roots, "idx", "left").withColumn("root", F.coalesce("component", "idx")).drop("component")
     rows = materialize(rows, "moment-rows")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from photonest.functions import expressions as X
 from photonest.functions import pixels
 from photonest.operators.cluster import near_points
-from photonest.operators.components import connected_components
+from photonest.operators.components import connected_components, contracted
 from photonest.operators.order import percentile_ranks
 from photonest.plans.queries import ORACLE_SQL, QUERIES
 
@@ -51,6 +51,17 @@ def test_components_match_union_find(spark):
     assert got == {x: least[find(x)] for x in up}
 
 
+@pytest.mark.parametrize("limit", [3, 1 << 20])
+def test_contracted_edges_connect_the_same_nodes(spark, limit):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(500) if i % 97] + [(rng.randrange(700), rng.randrange(700)) for _ in range(60)] + [(3, 3), (None, 4), (9, None)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    whole = lambda e: {tuple(r) for r in connected_components(e).collect()}
+    less = contracted(df.repartition(5), limit=limit)
+    assert whole(less) == whole(df.where("src <> dst"))
+    assert less.count() < df.count() and contracted(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("values,want", [([1, 1, 1, 10], [1 / 3, 1 / 3, 1 / 3, 1.0]), ([5, 5], [0.5, 0.5]), ([3], [0.5]), ([], [])])
 def test_percentile_ranks(spark, values, want):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
