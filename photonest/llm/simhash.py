@@ -38,11 +38,11 @@ TILE_ROWS = 8192
 BLOCK = 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of a UTF-8 text; bytes.lower and bytes.split know ASCII only, as the definition does."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a UTF-8 text; bytes.lower and bytes.split know ASCII only, as the definition does."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     line = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -50,7 +50,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     begins = (ends - size)[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(begins, stops, strict=True)], dtype=np.uint64)
+    return np.array([digest(line[a:b], 42) for a, b in zip(begins, stops, strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a UTF-8 text."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     votes = np.zeros(64, dtype=np.int64)
     for start in range(0, n, 1 << 16):
         part = hashes[start : start + (1 << 16)].astype(">u8").view(np.uint8)
@@ -183,12 +191,17 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest doc_id of their group (repeated rows of that doc_id all stay).
+    """The rows of ``df`` with the smallest doc_id of their group (repeated rows of that doc_id all stay)."""
+    return drop_all_but_least(df, near_duplicate_classes(df, id_col, text_col), id_col)
+
+
+def drop_all_but_least(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is a ``component_id`` of ``classes(doc_id, component_id)``.
 
     Only rows whose id may be among those to go (a broadcast bitmap tells) move to be looked up; the rest
     pass in place. A row without an id stays.
     """
-    classes = materialize(near_duplicate_classes(df, id_col, text_col), "near-classes")
+    classes = materialize(classes, "near-classes")
     kept = classes.select(F.col("component_id").alias("doc_id")).distinct()
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct().join(kept, "doc_id", "left_anti")
     gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.xxhash64("doc_id").alias("_h")), "gone-ids", thin=True)
