@@ -67,10 +67,10 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(img_id, height, width, rgb)``: 8 x 8 images whose channels are three embeddings."""
+    """``(img_id, height, width, rgb)``: 8 x 8 images whose channels are three embeddings, the first of every ``vec_id``, the others of the first 500."""
     level = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") + 0.55) / 1.1)) * 255).cast("int")
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.transform("embedding", level).alias("g"))
-    part = [F.broadcast(e.select(F.col("vec_id").alias(f"v{i}"), F.col("g").alias(f"g{i}"))) for i in (1, 2)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", level).alias("g"))
+    part = [F.broadcast(e.where("vec_id < 500").select(F.col("vec_id").alias(f"v{i}"), F.col("g").alias(f"g{i}"))) for i in (1, 2)]
     rows = e.select(F.col("vec_id").alias("img_id"), F.col("g").alias("g0"))
     for i in (1, 2):
         rows = rows.join(part[i - 1], (F.col("img_id") + i) % 500 == F.col(f"v{i}"))

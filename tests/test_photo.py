@@ -117,3 +117,14 @@ def test_images_are_scanned_and_decoded(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in found] == ["z.BMP", "a-b.bmp"] and len({r["id"] for r in found}) == 2
     for r in load_images(spark, str(tmp_path)).collect():
         assert np.array_equal(rgb_of(r["height"], r["width"], r["channels"], bytes(r["data"])), rgb)
+
+
+def test_every_embedding_is_an_image(spark, tmp_path):
+    from photonest.plans.adapters import images
+
+    vectors = np.random.default_rng(6).uniform(-0.6, 0.6, (1203, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    level = np.floor(np.clip((vectors.astype(np.float64) + 0.55) / 1.1, 0, 1) * 255).astype(int)
+    got = {r["img_id"]: r["rgb"] for r in images(spark, str(tmp_path)).collect()}
+    assert len(got) == 1203
+    assert all(got[i] == np.stack([level[i], level[(i + 1) % 500], level[(i + 2) % 500]], axis=1).ravel().tolist() for i in got)
