@@ -131,6 +131,12 @@ def candidates_filled(spark: SparkSession, sf: str) -> DataFrame:
     return select.candidates(rows, picks, TARGET).select("id", F.col("pos").cast("long").alias("pos"))
 
 
+def candidates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``candidates_filled``, over all rows and all groups."""
+    rows = _toy_groups(spark, sf)
+    return select.candidates(rows, select.representatives(rows), TARGET).select("id", F.col("pos").cast("long").alias("pos"))
+
+
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
     return A.scores(spark, sf).withColumn("pos", F.col("idx"))
 
@@ -259,7 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         percentile_rank_ties, percentile_rank_events, haversine_pairs, hamming_pairs, resolution_score, printability, appeal,
         people_score, expression_factor, composite, reasons_top4, moment_candidate_pairs, moment_edges, moments, places,
-        time_sessions, scenic_scores, representatives, candidates_filled, day_quotas, diverse_selection, places_summary,
+        time_sessions, scenic_scores, representatives, candidates_filled, candidates_all, day_quotas, diverse_selection, places_summary,
         saliency_and_hash, dms_to_degrees, exif_timestamp_parse, photo_ids, global_row_numbers, geocode_label_pick, final_pipeline, run_summary,
         saliency_8, perceptual_hash, distinct_faces, named_places, moment_report, place_report, selected_report,
     )
@@ -464,6 +470,7 @@ k AS (SELECT pl, count(DISTINCT mo) AS k FROM m WHERE pl IS NOT NULL GROUP BY pl
 SELECT idx, round(CASE WHEN k IS NULL OR (SELECT max(k) FROM k) <= 1 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE + 0.7::DOUBLE * (k - 1) / ((SELECT max(k) FROM k) - 1) END, 9) AS scenic FROM m LEFT JOIN k USING (pl)""",
     "representatives": f"WITH {_TOY}, {_REPS(rows='toy')} SELECT moment_no, id, pick_no FROM reps",
     "candidates_filled": f"WITH {_TOY}, few AS (SELECT * FROM toy WHERE moment_no < 20 OR idx % 3 = 0), early AS (SELECT * FROM few WHERE moment_no < 20), {_REPS(rows='early')}, {_fill_sql('few')} SELECT id, pos FROM cands",
+    "candidates_all": f"WITH {_TOY}, {_REPS(rows='toy')}, {_fill_sql('toy')} SELECT id, pos FROM cands",
     "day_quotas": f"WITH {_SCORES}, {_QUOTAS} SELECT day, day_n, quota FROM quotas",
     "diverse_selection": f"WITH {_SCORES}, {_SELECT} SELECT id, rank FROM chosen",
     "places_summary": f"WITH {_SCORES}, {_SELECT} SELECT p.place_id, count(*) AS photo_count, count(c.id) AS selected_count FROM pool p LEFT JOIN chosen c ON c.id = p.id GROUP BY p.place_id",

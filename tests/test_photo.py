@@ -128,3 +128,20 @@ def test_every_embedding_is_an_image(spark, tmp_path):
     got = {r["img_id"]: r["rgb"] for r in images(spark, str(tmp_path)).collect()}
     assert len(got) == 1203
     assert all(got[i] == np.stack([level[i], level[(i + 1) % 500], level[(i + 2) % 500]], axis=1).ravel().tolist() for i in got)
+
+
+def test_candidates_cover_every_group(spark):
+    rows, groups = (QUERIES[n](spark, SF).toPandas() for n in ("candidates_all", "representatives"))
+    assert set(groups["id"]) <= set(rows["id"]) and groups["moment_no"].nunique() == 84
+
+
+def test_candidates_fill_up_when_picks_fall_short(spark):
+    from photonest.operators.select import candidates, representatives
+
+    shots = [(i // 3, f"p{i}", i, None, (i * 7 % 11) / 10, 0) for i in range(9)]
+    df = spark.createDataFrame(shots, "moment_no long, id string, idx long, ts timestamp, composite double, phash long")
+    best = [max(shots[g * 3 : g * 3 + 3], key=lambda r: (r[4], -r[2]))[1] for g in range(3)]
+    rest = [r[1] for r in sorted(shots, key=lambda r: (-r[4], r[2])) if r[1] not in best]
+    for target in (2, 3, 5, 20):
+        got = [r["id"] for r in candidates(df, representatives(df), target).orderBy("pos").collect()]
+        assert got == best + rest[: max(0, target - 3)]
