@@ -317,6 +317,8 @@ def _of_zeros(size: int) -> int:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32, merkle_root)`` from the files of a store, verified."""
+    if not check_manifest(spark, path):
+        raise ValueError("the recipe files do not match the manifest")
     chunks = spark.read.schema(_ROW).parquet(f"{path}/chunks").where("kind = 'chunk'").select("key", "width", "payload")
     sums = map_texts(chunks, _chunk_sums, _CHUNK_SUM, text="payload")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
