@@ -87,7 +87,8 @@ class Merges:
         can = np.flatnonzero(rank[:n] < NEVER)
         can = can[np.argsort(rank[can], kind="stable")]
         kinds, starts = np.unique(rank[can], return_index=True)
-        index = {int(r): [p] for r, p in zip(kinds, np.split(can, starts[1:]), strict=True)}
+        # Nothing to merge (whole tokens and single bytes only) leaves no part at all, where split would give an empty one.
+        index = {int(r): [p] for r, p in zip(kinds, np.split(can, starts[1:]) if len(can) else [], strict=True)}
         queue = [int(r) for r in kinds]
         heapq.heapify(queue)
         while queue:
