@@ -179,3 +179,49 @@ def test_toxicity(spark):
     assert sorted(r["doc_id"] for r in toxicity.drop_toxic(docs, tagger).collect()) == sorted([i for i, y in labels if not y] + [900, 901])
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs, toxicity.tagger_of(docs, empty)).where("predicted = 1").count() == 0
+
+
+def test_marginals_equal_those_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    length = np.array([1, 4, 6, 6])
+    emit, trans = rng.normal(0, 2, (4, 6)), rng.normal(0, 1, (2, 2))
+    token, pairs, log_z = toxicity.batch_marginals(emit, trans, length)
+    for c, n in enumerate(length):
+        total, one, two = 0.0, np.zeros(6), np.zeros((2, 2))
+        for path in product((0, 1), repeat=int(n)):
+            weight = np.exp(sum(emit[c, i] for i in range(n) if path[i]) + sum(trans[path[i], path[i + 1]] for i in range(n - 1)))
+            total += weight
+            for i in range(n):
+                one[i] += weight * path[i]
+                if i + 1 < n:
+                    two[path[i], path[i + 1]] += weight
+        assert np.allclose(token[c], one / total) and np.allclose(pairs[c], two / total) and np.isclose(log_z[c], np.log(total))
+        assert np.allclose(toxicity.chain_marginals(emit[c, :n].tolist(), trans), (one / total)[:n])
+
+
+def test_skipped_sentences_hold_no_marginal_that_counts():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioumnrst") for _ in range(5)) for _ in range(80)]
+    say = lambda bad: " ".join([*rng.choices(words, k=rng.randint(1, 60)), *bad]) + ". " + " ".join(rng.choices(words, k=9))
+    tagger = toxicity.SpanTagger().fit([say(["vilezz"]) for _ in range(150)], [say([]) for _ in range(150)])
+    for text in [say(["vilezz", "viler"]) for _ in range(50)] + [say([]) for _ in range(50)]:
+        every = []
+        for s in toxicity.sentences(text):
+            emit = [float(tagger.weight[0] + tagger.weight[list(tagger._active(m[0]))].sum()) for m in s]
+            every += [(m.start(), m.end(), p) for m, p in zip(s, toxicity.chain_marginals(emit, tagger.trans), strict=True) if p > toxicity.FLOOR]
+        assert [x[:2] for x in tagger.tag(text)] == [x[:2] for x in every]
+
+
+def test_toxicity_of_awkward_tables(spark, docs, none):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)] + [(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    tagger = toxicity.tagger_of(docs, labels)
+    got = toxicity.score_toxicity(docs, tagger).collect()
+    assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(next(x[1] or "" for x in rows() if x[0] == r["doc_id"]), set()).add(r["score"])
+    assert all(len(x) == 1 for x in by_text.values())
+    assert toxicity.score_toxicity(none, toxicity.tagger_of(none, labels)).count() == 0
+    assert toxicity.drop_toxic(docs, tagger).columns == docs.columns
