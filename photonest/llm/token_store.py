@@ -11,8 +11,8 @@ Layout, all Parquet: ``chunks/kind=chunk`` (key, n, payload: little-endian ids o
 ``recipes`` (doc_id, n_tokens, local_start, hashes, root), ``manifest`` (one row a recipe file: ids,
 documents, first doc_id and place, Merkle root over the document roots).
 
-Reading verifies: each chunk's bytes against its name, each document's chunk list against its root,
-each recipe file against the manifest. Checksums of documents are put together from those of their
+Reading verifies: each recipe file's documents, ids and root against the manifest, each document's chunk list
+against its root, each chunk's bytes against its name; a chunk, document or file that is missing is an error. Checksums of documents are put together from those of their
 chunks, so the bytes of a chunk are read once however many documents share it.
 
 A null or empty text is the end id alone. Repeated rows are documents of their own; a null doc_id
@@ -24,12 +24,13 @@ from __future__ import annotations
 import gc
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,12 +103,17 @@ def byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> tuple[WordCache, int]:
-    """One per worker: the pieces of distinct words go through the BPE model of the tokenizers library."""
+def _encoder(path: str, pattern: str) -> tuple[Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], int]:
+    """One per worker: ids of texts as the tokenizers library gives them, and the bytes an id takes.
+
+    The pieces of distinct words go through the library's BPE model; texts that hold an added token go through the
+    library whole.
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     gc.set_threshold(100_000, 50, 50)  # a slice makes millions of small lists and no cycles
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
     tokenize, letters = library.model.tokenize, byte_letters()
     space = letters[32]
     pieces = regex.compile(pattern).findall
@@ -144,7 +150,25 @@ def _encoder(path: str, pattern: str) -> tuple[WordCache, int]:
         flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32)
         return flat, np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
-    return WordCache(pattern, encode), 2 if library.get_vocab_size() <= 1 << 16 else 4
+    def whole(text: str) -> np.ndarray:
+        return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    cache = WordCache(pattern, encode)
+
+    def encode_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.zeros(len(texts), dtype=bool)
+        for token in added:
+            marked |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return cache.encode_texts(texts)
+        ids, counts = cache.encode_texts(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
+        at = np.flatnonzero(marked)
+        own = [whole(texts[i].as_py()) for i in at.tolist()]
+        ids = np.insert(ids, np.repeat(np.cumsum(counts)[at], list(map(len, own))), np.concatenate(own))
+        counts[at] = list(map(len, own))
+        return ids, counts
+
+    return encode_texts, 2 if library.get_vocab_size() <= 1 << 16 else 4
 
 
 _ROW = StructType(
@@ -164,8 +188,8 @@ def _chunked(path: str, pattern: str, end_id: int):
     seen: set[bytes] = set()  # of one task: the closure is unpickled for each
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        cache, width = _encoder(path, pattern)
-        ids, counts = cache.encode_texts(batch.column("text"))
+        encode_texts, width = _encoder(path, pattern)
+        ids, counts = encode_texts(batch.column("text"))
         ends = np.cumsum(counts)
         ids = np.insert(ids, ends, end_id)
         ends = ends + np.arange(1, len(counts) + 1)
@@ -289,6 +313,9 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         chunks = batch.column("chunks")
         pos, keys, sizes, parts = chunks.flatten().flatten()
+        if sizes.null_count:
+            lost = keys.filter(sizes.is_null())[0].as_py()
+            raise ValueError(f"chunk {lost.hex()} is missing from the store")
         ends = np.cumsum(chunks.value_lengths().to_numpy())
         row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         order = np.lexsort((pos.to_numpy(), row))
@@ -316,9 +343,14 @@ def _of_zeros(size: int) -> int:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32, merkle_root)`` from the files of a store, verified."""
-    if not check_manifest(spark, path):
-        raise ValueError("the recipe files do not match the manifest")
+    """``(doc_id, start, n_tokens, ids_crc32, merkle_root)`` from the files of a store, verified.
+
+    A recipe file that is lost, new or altered is noticed here; a chunk that is lost or altered raises an error
+    when the rows are computed.
+    """
+    wrong = check_manifest(spark, path)
+    if wrong:
+        raise ValueError(f"recipe files do not match the manifest: {', '.join(wrong)}")
     chunks = spark.read.schema(_ROW).parquet(f"{path}/chunks").where("kind = 'chunk'").select("key", "width", "payload")
     sums = map_texts(chunks, _chunk_sums, _CHUNK_SUM, text="payload")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
@@ -328,17 +360,20 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select("*", _file())
     recipes = recipes.join(F.broadcast(offsets), "file").withColumn("start", F.col("offset") + F.col("local_start"))
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("pos", "key"))
-    whole = parts.join(sums, "key").groupBy("start", "doc_id", "n_tokens", "root").agg(
+    # A chunk that is gone leaves nulls, at which _documents stops; an inner join would drop its documents.
+    whole = parts.join(sums, "key", "left").groupBy("start", "doc_id", "n_tokens", "root").agg(
         F.collect_list(F.struct("pos", "key", "chunk_n", "crc")).alias("chunks")
     )
     return whole.select(*whole.columns).mapInArrow(_documents, _DOCUMENT)
 
 
-def check_manifest(spark: SparkSession, path: str) -> bool:
-    """Whether the recipe files still have the roots that the manifest tells."""
+def check_manifest(spark: SparkSession, path: str) -> list[str]:
+    """The recipe files whose documents, ids or root differ from what the manifest tells, or that only one side knows."""
     told = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
     found = _manifest(spark.read.schema(_RECIPE).parquet(f"{path}/recipes"))
-    return told.exceptAll(found).isEmpty() and found.exceptAll(told).isEmpty()
+    both = told.withColumn("side", F.lit(1)).unionByName(found.withColumn("side", F.lit(-1)))
+    wrong = both.groupBy(*_MANIFEST.names).agg(F.sum("side").alias("side")).where("side <> 0")
+    return sorted({r["file"] or "" for r in wrong.select("file").collect()})
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

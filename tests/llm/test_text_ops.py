@@ -124,7 +124,7 @@ def test_bpe_and_store(docs, none, spark, tmp_path):
         ids = [*tokenizer.encode(x[1] or "", add_special_tokens=False).ids, 2]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (x[0], start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
-    assert token_store.check_manifest(spark, f"{tmp_path}/s")
+    assert token_store.check_manifest(spark, f"{tmp_path}/s") == []
     token_store.write_store(none, f"{tmp_path}/e", vocabulary, pattern)
     assert token_store.read_store(spark, f"{tmp_path}/e").count() == 0
 
