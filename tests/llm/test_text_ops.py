@@ -129,18 +129,61 @@ def test_bpe_and_store(docs, none, spark, tmp_path):
     assert token_store.read_store(spark, f"{tmp_path}/e").count() == 0
 
 
-def test_flac(docs):
-    for r in flac.describe(flac.store(docs)).collect():
+def test_flac(docs, none):
+    media = flac.store(docs)
+    got = flac.describe(flac.pcm_blocks(media)).collect()
+    streams = {r["doc_id"]: r["media"] for r in media.collect()}
+    assert len(got) == len(rows())
+    for r in got:
         text = next((x[1] or "").encode() for x in rows() if x[0] == r["doc_id"])
-        whole = flac.payload(text)
+        whole, stream = flac.payload(text), streams[r["doc_id"]]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(text), len(whole), zlib.crc32(whole[-64:]))
         assert r["payload_sha256"] == hashlib.sha256(whole).hexdigest()
-    x = (90 * np.sin(np.arange(9000) / 7)).astype(int)
-    for order in (0, 6):
-        data = flac.encode(x, lpc_order=order)
-        assert (flac.Reader(data).samples()[0] == x).all() and (flac.Reader(data).read(8000, 50)[0] == x[8000:8050]).all()
-    with pytest.raises(ValueError):
-        flac.Reader(data[:-9] + bytes([data[-9] ^ 1]) + data[-8:]).samples()
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        assert ((flac.Reader(stream).samples()[0] + 128).astype(np.uint8) == np.frombuffer(whole, np.uint8)).all()
+    assert flac.describe(flac.pcm_blocks(flac.store(none))).count() == 0
+
+
+def signals():
+    rng = np.random.default_rng(3)
+    wave = (90 * np.sin(np.arange(9000) / 7)).astype(int)
+    return [wave, rng.integers(-128, 128, 5000), np.full(300, -7), np.array([5]), np.array([1, 2]), rng.integers(-3, 4, 4097), np.cumsum(rng.integers(-1, 2, 5000)) % 90, np.empty(0, int)]
+
+
+@pytest.mark.parametrize("order", [0, 4, 6, 12])
+@pytest.mark.parametrize("depth", [8, 16, 24])
+def test_flac_streams(order, depth):
+    loud = [x << (depth - 8) if i % 2 else x for i, x in enumerate(signals())]
+    streams = flac.encode_many(loud, depth=depth, lpc_order=order)
+    kinds = set()
+    for x, data, (reader, blocks) in zip(loud, streams, flac.decode_many(streams), strict=True):
+        assert (np.concatenate([np.empty(0, int), *(y for _, y in blocks)]) == x).all()
+        assert [at for at, _ in blocks] == list(range(0, len(x), flac.BLOCK))
+        assert (flac.Reader(data).samples()[0] == x).all()
+        for start in (0, 1, 4090, len(x) - 3):
+            if 0 <= start < len(x):
+                assert (flac.Reader(data).read(start, 50)[0] == x[start : start + 50]).all()
+        kinds |= {data[reader._head(at)[0]] >> 1 for at in reader._ends[:-1]}
+    assert {0, 1} <= kinds and (not order or max(kinds) == 32 + order - 1)
+
+
+def test_flac_damage():
+    data = flac.encode_many([signals()[0]])[0]
+    first = flac.Reader(data).first
+    for at in (first + 1, first + 4, first + 60, len(data) - 9, len(data) - 1, 30):
+        broken = data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+        with pytest.raises(ValueError):
+            flac.decode_many([broken])
+        with pytest.raises(ValueError):
+            flac.Reader(broken).samples()
+
+
+def test_pcm_is_read_by_offset():
+    offsets, blocks = [0, 4, 8], [b"abcd", b"efgh", b"ij"]
+    for start in range(11):
+        for count in range(1, 12):
+            assert flac.read_pcm(offsets, blocks, start, count) == b"abcdefghij"[start : start + count]
+    assert flac.read_pcm([], [], 0, 4) == b""
 
 
 def test_pii(docs, spark):
