@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_run_dirs: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,20 +28,49 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _local_scratch[sc.applicationId]
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder within the shared one; it goes when the application ends, or by ``release``."""
+    path = f"{scratch_dir(spark)}/photonest-{spark.sparkContext.applicationId}"
+    if _run_dirs.get(spark.sparkContext.applicationId) != path:
+        where, files = _file_system(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        if spark.sparkContext.applicationId in _local_scratch:
+            own, files = _file_system(spark, scratch_dir(spark))
+            files.deleteOnExit(own)
+        _run_dirs[spark.sparkContext.applicationId] = path
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; what still reads them cannot be computed any more."""
+    path = _run_dirs.pop(spark.sparkContext.applicationId, None)
+    if path:
+        where, files = _file_system(spark, path)
+        files.delete(where, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table", thin: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, survives lost executors and gives the optimizer real sizes. ``thin``: the rows are
-    few or short against the input, so an eighth of the shuffle partitions makes files of a fair size.
+    few or short against the work that makes them, so they are rebalanced into files of a fair size
+    behind that work, which keeps all its tasks.
     """
     path = new_path(df.sparkSession, name)
     if thin:
-        df = df.coalesce(max(1, shuffle_partitions(df.sparkSession) // 8))
+        df = df.hint("rebalance")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -145,3 +145,17 @@ def test_candidates_fill_up_when_picks_fall_short(spark):
     for target in (2, 3, 5, 20):
         got = [r["id"] for r in candidates(df, representatives(df), target).orderBy("pos").collect()]
         assert got == best + rest[: max(0, target - 3)]
+
+
+def test_intermediate_tables_can_be_released(spark):
+    import os
+
+    from photonest import session
+
+    kept = session.materialize(spark.range(100).repartition(8), "probe", thin=True)
+    folder = session.run_dir(spark).removeprefix("file://")
+    assert kept.count() == 100 and os.path.isdir(folder)
+    assert len([f for f in kept.inputFiles() if f.endswith(".parquet")]) == 1
+    session.release(spark)
+    assert not os.path.isdir(folder)
+    assert session.materialize(spark.range(5), "probe").count() == 5
