@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonest.session import materialize
 
-#: 2^28 bits are 32 MB; beyond that more rows pass the test than need to.
+#: 2^28 bits are 32 MB, sent as at most 8192 pages of 4 KB; beyond that more rows pass the test than need to.
 MOST_BITS = 1 << 28
+#: Words of 64 bits in a page.
+PAGE = 512
 
 
 def bits_for(keys: int) -> int:
@@ -16,30 +18,45 @@ def bits_for(keys: int) -> int:
     return min(MOST_BITS, 1 << max(12, (16 * max(1, keys) - 1).bit_length()))
 
 
+def pages_of(spots: DataFrame) -> DataFrame:
+    """``(_page, _words)``: the bits at ``_s`` of ``spots`` set, ``PAGE`` words of 64 bits a row; pages without a bit are left out."""
+    words = spots.groupBy(F.expr("shiftrightunsigned(_s, 6)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits"))
+    slot = (F.col("_word") % PAGE).cast("int")
+    # At most PAGE words meet in a row.
+    rows = words.groupBy(F.floor(F.col("_word") / PAGE).alias("_page")).agg(F.map_from_entries(F.collect_list(F.struct(slot.alias("k"), "_bits"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(PAGE - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long")))
+    return rows.select("_page", dense.alias("_words"))
+
+
+def page_of(spot: Column) -> Column:
+    return F.floor(spot / (64 * PAGE))
+
+
+def is_set(spot: Column) -> Column:
+    """Whether the bit of a row joined (left) with its page is set."""
+    word = F.get("_words", (F.shiftrightunsigned(spot, 6) % PAGE).cast("int"))
+    return F.coalesce(F.call_function("shiftrightunsigned", word, spot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
 class Bitmap:
     """Set of the hashes in column ``h`` of ``keys``, without misses."""
 
     def __init__(self, keys: DataFrame, h: str) -> None:
         self.bits = bits_for(keys.count())
-        spot = F.col(h).bitwiseAND(F.lit(self.bits - 1))
-        words = keys.select(spot.alias("_s")).groupBy(F.expr("shiftrightunsigned(_s, 6)").alias("_word")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_bits")
-        )
-        self.words = materialize(words, "bitmap", thin=True)
+        self.pages = materialize(pages_of(keys.select(self._spot(h).alias("_s"))), "bitmap", thin=True)
+
+    def _spot(self, h: str) -> Column:
+        return F.col(h).bitwiseAND(F.lit(self.bits - 1))
+
+    def _tested(self, df: DataFrame, h: str) -> DataFrame:
+        rows = df.withColumn("_s", self._spot(h)).withColumn("_page", page_of(F.col("_s")))
+        return rows.join(F.broadcast(self.pages), "_page", "left").withColumn("_hit", is_set(F.col("_s")))
 
     def split(self, df: DataFrame, h: str) -> tuple[DataFrame, DataFrame]:
         """The rows of ``df`` whose hash may be in the set, and those whose hash is not; a null hash is not."""
-        cols = df.columns
-        spot = F.col(h).bitwiseAND(F.lit(self.bits - 1))
-        marked = df.withColumn("_s", spot).withColumn("_word", F.expr("shiftrightunsigned(_s, 6)"))
-        marked = marked.join(F.broadcast(self.words), "_word", "left")
-        hit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1, 0) = 1")
-        return marked.where(hit).select(*cols), marked.where(~hit).select(*cols)
+        rows = self._tested(df, h)
+        return rows.where("_hit").select(*df.columns), rows.where("not _hit").select(*df.columns)
 
     def keep(self, df: DataFrame, h: str) -> DataFrame:
         """The rows of ``df`` whose hash may be in the set."""
-        cols = df.columns
-        spot = F.col(h).bitwiseAND(F.lit(self.bits - 1))
-        marked = df.withColumn("_s", spot).withColumn("_word", F.expr("shiftrightunsigned(_s, 6)"))
-        marked = marked.join(F.broadcast(self.words), "_word")
-        return marked.where("shiftrightunsigned(_bits, cast(_s & 63 as int)) & 1 = 1").select(*cols)
+        return self._tested(df, h).where("_hit").select(*df.columns)

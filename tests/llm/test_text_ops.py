@@ -50,6 +50,8 @@ def test_exact(docs, none):
     assert len(got) == len(rows()) and sum(r["kept"] for r in got) == len(groups)
     assert all(want[r["text_sha256"]] == (r["keep_id"], r["group_size"]) for r in got)
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).collect()) == sorted(max(v) for v in groups.values())
+    ranged = exact_dedup.duplicate_classes(docs, max_blocks=16).collect()  # more texts than a filter takes
+    assert sorted(r[:5] for r in ranged) == sorted(r[:5] for r in got)
     assert exact_dedup.duplicate_classes(none).count() == 0 and exact_dedup.drop_exact_duplicates(none).columns == none.columns
 
 
