@@ -51,16 +51,16 @@ def _block(h: Column, blocks: int) -> Column:
 def _marked_blocks(hashed: DataFrame, blocks: int) -> DataFrame:
     """Pages of the bitmap in which a block's bit is set if it has more rows than bits."""
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    per_block = hashed.select(_block(F.col("h"), blocks).alias("_s"), bit.alias("bit")).groupBy("_s").agg(
+    per_block = hashed.select(_block(F.col("h"), blocks).alias("__spot"), bit.alias("bit")).groupBy("__spot").agg(
         F.count("*").alias("n"), F.bit_or("bit").alias("bits")
     )
-    return materialize(pages_of(per_block.where(F.col("n") > F.bit_count("bits")).select("_s")), "bloom", thin=True)
+    return materialize(pages_of(per_block.where(F.col("n") > F.bit_count("bits")).select("__spot")), "bloom", thin=True)
 
 
 def _tested(rows: DataFrame, h: str, marked: DataFrame, blocks: int) -> DataFrame:
     """``rows`` with ``_hit``: whether the block of hash ``h`` is marked."""
-    rows = rows.withColumn("_s", _block(F.col(h), blocks)).withColumn("_page", page_of(F.col("_s")))
-    return rows.join(F.broadcast(marked), "_page", "left").withColumn("_hit", is_set(F.col("_s"))).drop("_s", "_page", "_words")
+    rows = rows.withColumn("__spot", _block(F.col(h), blocks)).withColumn("__page", page_of(F.col("__spot")))
+    return rows.join(F.broadcast(marked), "__page", "left").withColumn("_hit", is_set(F.col("__spot"))).drop("__spot", "__page", "__words")
 
 
 def blocks_for(rows: int, most: int = MAX_BLOCKS) -> int:
