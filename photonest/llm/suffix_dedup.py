@@ -35,7 +35,7 @@ from photonest.session import materialize
 
 LENGTH, GRAM = 200, 32
 WIDTHS = (64, 16, 4, 1)
-_PLACE = 28  # bits of a position in a slice
+_PLACE = 31  # bits of a position in a slice; no text has more bytes
 
 _ANCHOR = StructType(
     [StructField("doc_id", LongType()), StructField("digest", BinaryType()), StructField("khash", LongType()), StructField("hull", LongType())]
@@ -136,11 +136,11 @@ def _round(rows: DataFrame, width: int, length: int, gram: int) -> tuple[DataFra
     cut = cut.withColumn("hull", F.xxhash64(hull, "l_lo", "l_hi"))
     cut = cut.withColumn("shared", shared).withColumn("r2", F.xxhash64(F.lit(width), "r2", "lo", F.sha1("shared")))
     cut = cut.withColumn("r1", F.xxhash64("r1", "lo", "shared")).drop("shared", "lo", "hi")
-    cut = materialize(cut, "ranked", thin=True)
+    cut = materialize(cut, "ranked")
     who = F.struct("digest", "p")
     classes = cut.groupBy("r1", "r2", "hull").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.max("need").alias("need"))
     classes = classes.withColumn("repeats", F.col("a") != F.col("b")).withColumn("open", F.col("need") & ~F.col("repeats")).drop("b", "need")
-    classes = materialize(classes, "classes", thin=True)
+    classes = materialize(classes, "classes")
     ranks = classes.groupBy("r1", "r2").agg(F.max("open").alias("go_on"), F.count("*").alias("n")).where("go_on and n > 1").select("r1", "r2")
     ranks = materialize(ranks, "open-ranks", thin=True)
     found = cut.where("need").join(classes.where("repeats").select("r1", "r2", "hull"), ["r1", "r2", "hull"], "left_semi")
@@ -166,7 +166,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     who = F.struct("digest", "p")
     classes = anchors.groupBy("khash", "hull").agg(F.min(F.struct("digest", "p", "doc_id", "s_lo", "s_hi")).alias("a"), F.max(who).alias("b"))
     repeats = (F.col("a.digest") != F.col("b.digest")) | (F.col("a.p") != F.col("b.p"))
-    classes = materialize(classes.select("khash", "hull", "a", repeats.alias("repeats")), "classes", thin=True)
+    classes = materialize(classes.select("khash", "hull", "a", repeats.alias("repeats")), "classes")
     found = [
         materialize(
             anchors.join(classes.where("repeats").select("khash", "hull"), ["khash", "hull"], "left_semi").select("digest", "s_lo", "s_hi").distinct(), "repeats", thin=True
