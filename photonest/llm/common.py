@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -24,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Parts in which the rows of one key meet the other side of a join.
+SALT = 16
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` left-joined with ``small`` on ``key``, of which a third of all rows may share one value.
+
+    Rows of a key are dealt by the hash of ``spread`` among ``SALT`` tasks; ``small``, a row a key, goes to each of them.
+    """
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(dealt, [key, "__salt"], "left").drop("__salt")
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``limit`` text bytes, one row at least."""
     if batch.num_rows == 0:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from photonest.llm.bitmap import Bitmap
-from photonest.llm.common import map_texts, table, utf8
+from photonest.llm.common import map_texts, salted_join, table, utf8
 from photonest.operators.components import connected_components
 from photonest.session import materialize
 
@@ -180,14 +180,18 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fp, component_id (the smallest doc_id that links reach)."""
     prints = materialize(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints", thin=True)
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    distinct = materialize(distinct, "distinct-fingerprints")
     links = materialize(near_links(distinct.select("fp"), radius), "links", thin=True)
     groups = materialize(connected_components(links), "components", thin=True).withColumnRenamed("node", "fp")
-    named = distinct.join(groups, "fp", "left").withColumn("g", F.coalesce("component", "fp"))
+    named = distinct.join(groups, "fp", "left").where("component is not null or n > 1").withColumn("g", F.coalesce("component", "fp"))
+    named = materialize(named.select("fp", "least", "g"), "named-fingerprints", thin=True)
     of_group = named.groupBy("g").agg(F.min("least").alias("component_id"))
-    of_group = materialize(of_group, "group-ids", thin=True)
     by_print = materialize(named.join(of_group, "g").select("fp", "component_id"), "print-ids", thin=True)
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # A fingerprint of one document without links is its own class; the others may be hot (no words, boilerplate).
+    maybe, alone = Bitmap(by_print.withColumn("h", F.xxhash64("fp")), "h").split(prints.withColumn("h", F.xxhash64("fp")), "h")
+    maybe = salted_join(maybe, by_print, "fp", "doc_id").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return alone.select("doc_id", "fp", F.col("doc_id").alias("component_id")).unionByName(maybe)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
