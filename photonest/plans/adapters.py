@@ -11,17 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, idx, path, ts, lat, lon, width, height, phash)`` from events; the hash is the signs of an embedding."""
-    events = table(spark, sf_dir, "events")
+    """``(id, idx, ts, lat, lon, width, height, phash)`` from events; the hash is the signs of an embedding, taken in turn."""
+    events, vectors = table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings")
     sign = F.aggregate(
         F.sequence(F.lit(0), F.lit(35)), F.lit(0).cast("long"),
         lambda s, i: s + F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")),
     )
-    hashes = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("_v"), sign.alias("phash"))
+    hashes = vectors.select(F.col("vec_id").alias("_v"), sign.alias("phash"))
     k = F.get_json_object("props", "$.k").cast("int")
     u = F.col("user_id")
     known = u % 10 != 9
-    rows = events.join(F.broadcast(hashes), F.col("event_id") % 500 == F.col("_v"))
+    rows = events.join(hashes, F.col("event_id") % max(1, vectors.count()) == F.col("_v"))
     return rows.select(
         F.format_string("p%08d", "event_id").alias("id"),
         F.col("event_id").alias("idx"),
@@ -67,12 +67,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(img_id, height, width, rgb)``: 8 x 8 images whose channels are three embeddings, the first of every ``vec_id``, the others of the first 500."""
+    """``(img_id, height, width, rgb)``: 8 x 8 images whose channels are three embeddings, that of ``vec_id`` and the next two, in a ring."""
     level = lambda v: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") + 0.55) / 1.1)) * 255).cast("int")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", level).alias("g"))
-    part = [F.broadcast(e.where("vec_id < 500").select(F.col("vec_id").alias(f"v{i}"), F.col("g").alias(f"g{i}"))) for i in (1, 2)]
+    n = max(1, e.count())
     rows = e.select(F.col("vec_id").alias("img_id"), F.col("g").alias("g0"))
     for i in (1, 2):
-        rows = rows.join(part[i - 1], (F.col("img_id") + i) % 500 == F.col(f"v{i}"))
+        rows = rows.join(e.select(F.col("vec_id").alias(f"v{i}"), F.col("g").alias(f"g{i}")), (F.col("img_id") + i) % n == F.col(f"v{i}"))
     rgb = F.flatten(F.zip_with(F.zip_with("g0", "g1", lambda a, b: F.array(a, b)), "g2", lambda ab, c: F.concat(ab, F.array(c))))
     return rows.select("img_id", F.lit(8).alias("height"), F.lit(8).alias("width"), rgb.alias("rgb"))

@@ -126,15 +126,9 @@ def representatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates_filled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _toy_groups(spark, sf).where("moment_no < 20 or idx % 3 = 0")
-    picks = select.representatives(rows.where("moment_no < 20"))
-    return select.candidates(rows, picks, TARGET).select("id", F.col("pos").cast("long").alias("pos"))
-
-
-def candidates_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As ``candidates_filled``, over all rows and all groups."""
+    """Picks of every group, filled up to a quarter of all rows."""
     rows = _toy_groups(spark, sf)
-    return select.candidates(rows, select.representatives(rows), TARGET).select("id", F.col("pos").cast("long").alias("pos"))
+    return select.candidates(rows, select.representatives(rows), rows.count() // 4).select("id", F.col("pos").cast("long").alias("pos"))
 
 
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,7 +259,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         percentile_rank_ties, percentile_rank_events, haversine_pairs, hamming_pairs, resolution_score, printability, appeal,
         people_score, expression_factor, composite, reasons_top4, moment_candidate_pairs, moment_edges, moments, places,
-        time_sessions, scenic_scores, representatives, candidates_filled, candidates_all, day_quotas, diverse_selection, places_summary,
+        time_sessions, scenic_scores, representatives, candidates_filled, day_quotas, diverse_selection, places_summary,
         saliency_and_hash, dms_to_degrees, exif_timestamp_parse, photo_ids, global_row_numbers, geocode_label_pick, final_pipeline, run_summary,
         saliency_8, perceptual_hash, distinct_faces, named_places, moment_report, place_report, selected_report,
     )
@@ -281,13 +275,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _PHOTOS = """h AS (
   SELECT vec_id, CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END FOR i IN range(36)]) AS BIGINT) AS phash
-  FROM embeddings WHERE vec_id < 500),
+  FROM embeddings),
 photos AS (
   SELECT printf('p%08d', event_id) AS id, event_id AS idx, CASE WHEN event_id % 17 <> 0 THEN ts END AS ts,
     CASE WHEN user_id % 10 <> 9 THEN 48.80::DOUBLE + 0.004::DOUBLE * (user_id % 15) END AS lat,
     CASE WHEN user_id % 10 <> 9 THEN 2.30::DOUBLE + 0.003::DOUBLE * (user_id // 15) + 0.01::DOUBLE * (user_id // 45) END AS lon,
     800 + 40 * CAST(json_extract_string(props, '$.k') AS INT) AS width, 600 + 30 * CAST(json_extract_string(props, '$.k') AS INT) AS height, phash
-  FROM events JOIN h ON event_id % 500 = vec_id)"""
+  FROM events JOIN h ON event_id % (SELECT count(*) FROM embeddings) = vec_id)"""
 _MEASURES = ", ".join(f"(idx * {a} % {m}) / {m - 1}.0::DOUBLE AS {c}" for c, (a, m) in A.MEASURES.items())
 _C01 = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {}))".format
 _RES = (
@@ -373,11 +367,11 @@ reps AS (
 _TOY = f"{_PHOTOS}, {_SCORES}, toy AS (SELECT pool.*, photos.phash, pool.idx // 12 AS moment_no FROM pool JOIN photos USING (idx))"
 
 
-def _fill_sql(rows: str) -> str:
+def _fill_sql(rows: str, target: str = str(TARGET)) -> str:
     return f"""first_pos AS (SELECT id, row_number() OVER (ORDER BY moment_no, pick_no) AS pos FROM reps),
 cands AS (SELECT id, pos FROM first_pos UNION ALL
   SELECT id, pos FROM (SELECT id, row_number() OVER (ORDER BY composite DESC, idx) + (SELECT count(*) FROM first_pos) AS pos FROM {rows} WHERE id NOT IN (SELECT id FROM first_pos))
-  WHERE pos <= least({TARGET}, (SELECT count(*) FROM {rows})))"""
+  WHERE pos <= least({target}, (SELECT count(*) FROM {rows})))"""
 
 
 _QUOTAS = f"""days AS (SELECT day, count(*) AS day_n, max(composite) AS top, min(pos) AS first FROM pool GROUP BY day),
@@ -390,10 +384,10 @@ s3 AS (SELECT *, NOT s12 AND row_number() OVER (PARTITION BY day, s12 ORDER BY c
 s4 AS (SELECT *, elig AND row_number() OVER (PARTITION BY elig ORDER BY composite DESC, pos) <= (SELECT t FROM goal) - (SELECT count(*) FROM s2 WHERE s12) AS s3 FROM s3),
 s5 AS (SELECT *, NOT (s12 OR s3) AND row_number() OVER (PARTITION BY s12 OR s3 ORDER BY composite DESC, pos) <= (SELECT t FROM goal) - (SELECT count(*) FROM s4 WHERE s12 OR s3) AS s6 FROM s4),
 chosen AS (SELECT *, row_number() OVER (ORDER BY composite DESC, ts IS NULL, ts, id) AS rank FROM s5 WHERE s12 OR s3 OR s6)"""
-_PIX = """e AS (SELECT vec_id AS v, [floor(greatest(0.0, least(1.0, (x::DOUBLE + 0.55) / 1.1)) * 255) FOR x IN embedding] AS g FROM embeddings WHERE vec_id < 500),
+_PIX = """e AS (SELECT vec_id AS v, [floor(greatest(0.0, least(1.0, (x::DOUBLE + 0.55) / 1.1)) * 255) FOR x IN embedding] AS g FROM embeddings), es AS (SELECT count(*) AS n FROM embeddings),
 px AS (
   SELECT a.v AS img_id, i // 8 AS y, i % 8 AS x, a.g[i + 1] AS r, b.g[i + 1] AS g, c.g[i + 1] AS b
-  FROM e a JOIN e b ON b.v = (a.v + 1) % 500 JOIN e c ON c.v = (a.v + 2) % 500, range(64) t(i)),
+  FROM e a JOIN e b ON b.v = (a.v + 1) % (SELECT n FROM es) JOIN e c ON c.v = (a.v + 2) % (SELECT n FROM es), range(64) t(i)),
 gr AS (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS l FROM px)"""
 _CAST = f"""WITH {_PIX.replace('0.299 * r + 0.587 * g + 0.114 * b', '0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b')},
 u AS (SELECT *, quantile_cont(l, 0.95) OVER (PARTITION BY img_id) AS cut FROM gr WHERE l < 250),
@@ -469,8 +463,7 @@ ORACLE_SQL: dict[str, str] = {
 k AS (SELECT pl, count(DISTINCT mo) AS k FROM m WHERE pl IS NOT NULL GROUP BY pl)
 SELECT idx, round(CASE WHEN k IS NULL OR (SELECT max(k) FROM k) <= 1 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE + 0.7::DOUBLE * (k - 1) / ((SELECT max(k) FROM k) - 1) END, 9) AS scenic FROM m LEFT JOIN k USING (pl)""",
     "representatives": f"WITH {_TOY}, {_REPS(rows='toy')} SELECT moment_no, id, pick_no FROM reps",
-    "candidates_filled": f"WITH {_TOY}, few AS (SELECT * FROM toy WHERE moment_no < 20 OR idx % 3 = 0), early AS (SELECT * FROM few WHERE moment_no < 20), {_REPS(rows='early')}, {_fill_sql('few')} SELECT id, pos FROM cands",
-    "candidates_all": f"WITH {_TOY}, {_REPS(rows='toy')}, {_fill_sql('toy')} SELECT id, pos FROM cands",
+    "candidates_filled": f"WITH {_TOY}, {_REPS(rows='toy')}, {_fill_sql('toy', '(SELECT count(*) // 4 FROM toy)')} SELECT id, pos FROM cands",
     "day_quotas": f"WITH {_SCORES}, {_QUOTAS} SELECT day, day_n, quota FROM quotas",
     "diverse_selection": f"WITH {_SCORES}, {_SELECT} SELECT id, rank FROM chosen",
     "places_summary": f"WITH {_SCORES}, {_SELECT} SELECT p.place_id, count(*) AS photo_count, count(c.id) AS selected_count FROM pool p LEFT JOIN chosen c ON c.id = p.id GROUP BY p.place_id",

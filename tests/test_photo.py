@@ -14,8 +14,10 @@ from photonest.functions import pixels
 from photonest.operators.cluster import near_points
 from photonest.operators.components import connected_components, contracted
 from photonest.operators.order import percentile_ranks
+from photonest.plans import file_queries
 from photonest.plans.queries import ORACLE_SQL, QUERIES
 
+QUERIES, ORACLE_SQL = QUERIES | file_queries.QUERIES, ORACLE_SQL | file_queries.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
@@ -127,11 +129,11 @@ def test_every_embedding_is_an_image(spark, tmp_path):
     level = np.floor(np.clip((vectors.astype(np.float64) + 0.55) / 1.1, 0, 1) * 255).astype(int)
     got = {r["img_id"]: r["rgb"] for r in images(spark, str(tmp_path)).collect()}
     assert len(got) == 1203
-    assert all(got[i] == np.stack([level[i], level[(i + 1) % 500], level[(i + 2) % 500]], axis=1).ravel().tolist() for i in got)
+    assert all(got[i] == np.stack([level[i], level[(i + 1) % 1203], level[(i + 2) % 1203]], axis=1).ravel().tolist() for i in got)
 
 
 def test_candidates_cover_every_group(spark):
-    rows, groups = (QUERIES[n](spark, SF).toPandas() for n in ("candidates_all", "representatives"))
+    rows, groups = (QUERIES[n](spark, SF).toPandas() for n in ("candidates_filled", "representatives"))
     assert set(groups["id"]) <= set(rows["id"]) and groups["moment_no"].nunique() == 84
 
 
@@ -159,3 +161,4 @@ def test_intermediate_tables_can_be_released(spark):
     session.release(spark)
     assert not os.path.isdir(folder)
     assert session.materialize(spark.range(5), "probe").count() == 5
+
