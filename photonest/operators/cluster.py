@@ -103,12 +103,61 @@ def near_points(points: DataFrame, metres: float) -> DataFrame:
     return pairs.where(F.col("d") <= metres).select("p", "q", "d")
 
 
+#: Spots up to which all pairs of a neighbourhood are taken.
+FEW_SPOTS = 10_000
+#: Up to this radius and this latitude, cells of ``SIDE`` times the radius have diagonals below it and reach no further than ``REACH`` cells.
+MOST_METRES, MOST_LATITUDE, SIDE, REACH = 5000.0, 85.0, 0.65, 2
+
+
+def near_links(points: DataFrame, metres: float) -> DataFrame:
+    """``(p, q)`` links that connect what the pairs of ``near_points(p, lat, lon)`` connect, without all pairs of dense spots.
+
+    Cells are so small that all points of one are near each other: they hang on the first of them, the hub. Hubs then meet
+    the points of the cells around; only where two cells in reach are not connected by that do their points meet each
+    other. Near the poles, where cells are no squares, and for large radii all pairs are taken.
+    """
+    if metres > MOST_METRES:
+        return near_points(points, metres).select("p", "q")
+    polar = near_points(points.where(F.abs("lat") > MOST_LATITUDE - 0.1), metres).select("p", "q")
+    band, cells, cell = _cells(metres * SIDE)
+    placed = points.where(F.abs("lat") <= MOST_LATITUDE).withColumn("b", band(F.col("lat")))
+    placed = placed.withColumn("k", cell(F.col("lon"), cells(F.col("b")))).select("b", "k", F.struct("p", "lat", "lon").alias("at"))
+    hubs = placed.groupBy("b", "k").agg(F.min("at").alias("hub"))
+    placed = materialize(placed.join(hubs, ["b", "k"]), "cells")
+    hubs = placed.select("b", "k", "hub").distinct()
+    apart = lambda x, y: haversine(F.col(f"{x}.lat"), F.col(f"{x}.lon"), F.col(f"{y}.lat"), F.col(f"{y}.lon")) <= metres
+
+    def around(rows: DataFrame) -> DataFrame:
+        """The cells of ``rows`` as ``b0, k0``, once for each other cell ``b, k`` in reach of their hub's cell."""
+        steps = F.transform(F.sequence(F.lit(-REACH), F.lit(REACH)), lambda d: F.col("b0") + d)
+        seen = rows.withColumnsRenamed({"b": "b0", "k": "k0", "hub": "guest"}).withColumn("b", F.explode(steps)).withColumn("n", cells(F.col("b")))
+        # Cells of another band are others in number, so all of those that the guest's cell and its reach touch are seen.
+        wide = F.lit(360.0) / cells(F.col("b0"))
+        first = F.floor(F.pmod(F.col("k0") * wide, F.lit(360.0)) * F.col("n") / 360.0).cast("long")
+        reach = F.transform(F.sequence(F.lit(-REACH), F.lit(REACH + 2)), lambda d: F.pmod(first + d, F.col("n")))
+        return seen.withColumn("k", F.explode(F.array_distinct(reach))).where("b <> b0 or k <> k0").drop("n")
+
+    own = placed.where("at.p <> hub.p").select(F.col("at.p").alias("p"), F.col("hub.p").alias("q"))
+    visits = around(hubs).join(placed, ["b", "k"]).where(apart("guest", "at")).select(F.col("guest.p").alias("p"), F.col("hub.p").alias("q"))
+    links = materialize(own.unionByName(visits.distinct()).unionByName(polar), "hub-links", thin=True)
+    groups = connected_components(links, "p", "q")
+    grouped = hubs.join(groups, F.col("hub.p") == F.col("node"), "left").select("b", "k", "hub", F.coalesce("component", "hub.p").alias("g"))
+    grouped = materialize(grouped, "grouped-cells", thin=True)
+    open_cells = around(grouped.withColumnRenamed("g", "g0")).join(grouped.select("b", "k", "g"), ["b", "k"]).where("g0 < g").select("b0", "k0", "g0", "b", "k", "g")
+    spots = placed.select("b", "k", "at")
+    met = open_cells.join(spots, ["b", "k"]).join(spots.select(F.col("b").alias("b0"), F.col("k").alias("k0"), F.col("at").alias("other")), ["b0", "k0"])
+    more = met.where(apart("at", "other")).select(F.col("g0").alias("p"), F.col("g").alias("q")).distinct()
+    return links.unionByName(more)
+
+
 def places(photos: DataFrame, metres: float = 300.0) -> DataFrame:
     """``(id, idx, place_id)``; places are numbered by first appearance, photos without position stand alone."""
     located = photos.where("lat is not null")
     spots = located.groupBy("lat", "lon").agg(F.min("idx").alias("p"))
     spots = materialize(spots, "spots", thin=True)
-    roots = connected_components(near_points(spots.select("p", "lat", "lon"), metres), "p", "q").withColumnRenamed("node", "p")
+    # Of few spots all pairs are cheaper than the rounds that spare them; both give the same places.
+    links = near_points if spots.count() <= FEW_SPOTS else near_links
+    roots = connected_components(links(spots.select("p", "lat", "lon"), metres), "p", "q").withColumnRenamed("node", "p")
     spots = spots.join(roots, "p", "left").withColumn("root", F.coalesce("component", "p"))
     # A root is the least first index of its place, so it orders the places.
     order = numbered(spots.select("root").distinct(), [F.col("root").asc()], "n").select("root", F.format_string("place-%04d", F.col("n") - 1).alias("place_id"))

@@ -31,12 +31,17 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
 def percentile_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Add ``name``: the tie-aware percentile rank of ``value`` among all rows; 0.5 if there is one row only.
 
-    Ranks are worked out on the distinct values and joined back, so ties cost nothing.
+    Ranks are worked out on the distinct values and joined back. Values that more than a thousandth of all rows
+    share, a thousand at most, go to the rows; the others meet them by value.
     """
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     counts = running_total(counts, [F.col("_v").asc()], F.col("_n"), "_upto")
     total = df.agg(F.count("*").alias("_all"))
     middle = (F.col("_upto") - F.col("_n") + (F.col("_n") - 1) / 2.0) / (F.col("_all") - 1)
-    ranks = counts.join(F.broadcast(total)).select("_v", F.when(F.col("_all") < 2, 0.5).otherwise(middle).alias(name))
-    ranks = materialize(ranks, "ranks", thin=True)
-    return df.join(ranks, df[value].eqNullSafe(F.col("_v"))).drop("_v")
+    ranks = counts.join(F.broadcast(total)).select("_v", F.when(F.col("_all") < 2, 0.5).otherwise(middle).alias("_rank"), (F.col("_n") * 1000 > F.col("_all")).alias("_hot"))
+    ranks = materialize(ranks, "ranks")
+    hot = F.broadcast(ranks.where("_hot").select("_v", F.col("_rank").alias(name), F.lit(True).alias("_hot")))
+    met = df.join(hot, df[value].eqNullSafe(F.col("_v")), "left").drop("_v")
+    rest = met.where("_hot is null").drop("_hot", name)
+    rest = rest.join(ranks.where("not _hot").select("_v", F.col("_rank").alias(name)), rest[value].eqNullSafe(F.col("_v"))).drop("_v")
+    return met.where("_hot").drop("_hot").unionByName(rest)

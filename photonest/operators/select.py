@@ -11,20 +11,22 @@ from photonest.operators.order import numbered
 from photonest.session import materialize
 
 
+#: Parts in which a day is cut down.
+PARTS = 16
+
+
 def representatives(scored: DataFrame, least_size: int = 8, ratio: float = 0.92, bits: int = 12) -> DataFrame:
     """``(moment_no, id, pick_no)``: the best of each moment, and of large ones a second that is good and different.
 
     ``scored``: moment_no, id, idx, ts, composite, phash.
     """
-    by_score = Window.partitionBy("moment_no").orderBy(F.desc("composite"), F.col("ts").isNull(), "ts", "idx")
-    ranked = scored.withColumn("rn", F.row_number().over(by_score))
-    best = scored.groupBy("moment_no").agg(
-        F.count("*").alias("size"),
-        F.max_by(F.struct("composite", "phash", "id"), F.struct("composite", F.col("ts").isNotNull(), -F.unix_micros(F.coalesce(F.col("ts").cast("timestamp"), F.lit(0).cast("timestamp"))), -F.col("idx"))).alias("best"),
-    )
+    # Larger is better: the score, then the earlier time (none is last), then the lower index.
+    merit = F.struct("composite", F.col("ts").isNotNull(), -F.unix_micros(F.coalesce(F.col("ts").cast("timestamp"), F.lit(0).cast("timestamp"))), -F.col("idx"))
+    # Sums over a moment, so that no moment is sorted in one task.
+    best = scored.groupBy("moment_no").agg(F.count("*").alias("size"), F.max_by(F.struct("composite", "phash", "id", "idx"), merit).alias("best"))
     close = F.when(F.col("best.composite") <= 0, True).otherwise(F.try_divide("composite", "best.composite") >= ratio)
-    later = ranked.where("rn > 1").join(best.where(F.col("size") >= least_size), "moment_no")
-    second = later.where(close & (hamming(F.col("phash"), F.col("best.phash")) >= bits)).groupBy("moment_no").agg(F.min_by("id", "rn").alias("id"))
+    later = scored.join(best.where(F.col("size") >= least_size), "moment_no").where(F.col("idx") != F.col("best.idx"))
+    second = later.where(close & (hamming(F.col("phash"), F.col("best.phash")) >= bits)).groupBy("moment_no").agg(F.max_by("id", merit).alias("id"))
     first = best.select("moment_no", F.col("best.id").alias("id"), F.lit(1).alias("pick_no"))
     return first.unionByName(second.select("moment_no", "id", F.lit(2).alias("pick_no")))
 
@@ -58,8 +60,17 @@ def select_diverse(cands: DataFrame, target: int = 100, ceiling: float = 1.6) ->
     quotas = materialize(day_quotas(cands, target), "quotas", thin=True)
     goal = quotas.agg(F.max("goal")).first()[0] or 0
     by_score = [F.desc("composite"), F.col("pos")]
-    best = F.row_number().over(Window.partitionBy("day", "place_id").orderBy(*by_score)) == 1
-    rows = cands.withColumn("_best", best).join(F.broadcast(quotas.drop("goal")), "day")
+    # Of a day no more than the best of ``goal`` places and the best 3 * goal + 3 photos can be chosen or decide who is; a day is
+    # cut down to those in parts, so that one without dates is not one task's work.
+    part = lambda column: F.pmod(F.xxhash64(column), F.lit(PARTS))
+    top = lambda rows, column, k: rows.withColumn("_part", part(column)).withColumn(
+        "_n", F.row_number().over(Window.partitionBy("day", "_part").orderBy(*by_score))).where(F.col("_n") <= k).drop("_part", "_n")
+    every = F.struct(*cands.columns)
+    champions = cands.groupBy("day", "place_id").agg(F.max_by(every, F.struct("composite", -F.col("pos"))).alias("r")).select("r.*")
+    champions = materialize(top(champions, "place_id", goal + 1), "champions", thin=True)
+    others = top(cands, "id", 3 * goal + 3).join(champions.select("id"), "id", "left_anti").select(cands.columns)
+    rows = champions.withColumn("_best", F.lit(True)).unionByName(others.withColumn("_best", F.lit(False)))
+    rows = rows.join(F.broadcast(quotas.drop("goal")), "day")
     rows = rows.withColumn("_rk", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("_best"), *by_score)))
     rows = rows.withColumn("_s12", F.col("_rk") <= F.col("quota"))
     most = F.greatest(F.col("quota"), F.floor(F.lit(ceiling) * F.col("quota")) + 1)

@@ -162,3 +162,19 @@ def test_intermediate_tables_can_be_released(spark):
     assert not os.path.isdir(folder)
     assert session.materialize(spark.range(5), "probe").count() == 5
 
+
+
+def test_near_links_connect_what_near_pairs_connect(spark):
+    from photonest.operators.cluster import near_links
+
+    rng = random.Random(17)
+    spots = []
+    for lat, lon in ((0.0, 0.0), (48.85, 2.35), (-33.0, 179.9999), (84.95, 10.0), (89.99, 0.0), (60.0, -180.0)):
+        for _ in range(70):
+            spots.append((lat + rng.gauss(0, 0.006), (lon + rng.gauss(0, 0.006) / max(0.01, math.cos(math.radians(lat))) + 540) % 360 - 180))
+        spots += [(lat + i * 0.0026, lon if lon < 179 else -180 + i * 0.0001) for i in range(4)]  # about the radius apart
+    spots = [(min(90.0, max(-90.0, a)), o) for a, o in spots]
+    points = spark.createDataFrame([(i, *x) for i, x in enumerate(spots)], "p long, lat double, lon double")
+    for metres in (40.0, 300.0, 1500.0, 9000.0):
+        ends = [{(r["node"], r["component"]) for r in connected_components(pairs, "p", "q").collect()} for pairs in (near_links(points, metres), near_points(points, metres))]
+        assert ends[0] == ends[1] and ends[0]
