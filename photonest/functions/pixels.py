@@ -110,11 +110,15 @@ def resize(a: np.ndarray, height: int, width: int, kind: str = "triangle") -> np
 
 
 def saliency(g: np.ndarray, size: int = 64) -> np.ndarray:
-    """Spectral-residual saliency in [0, 1]; zeros for a flat image."""
+    """Spectral-residual saliency in [0, 1]; zeros for a flat image.
+
+    Frequencies that rounding alone keeps from zero count as zero, as their phase would depend on the machine.
+    """
     small = resize(g, size, size) if g.shape != (size, size) else g
     if small.std() < 1e-6:
         return np.zeros((size, size))
     f = np.fft.fft2(small)
+    f[np.abs(f) < 1e-9 * np.abs(f).max()] = 0
     log = np.log(np.abs(f) + 1e-8)
     back = box3(np.abs(np.fft.ifft2(np.exp(log - box3(log) + 1j * np.angle(f)))) ** 2)
     low, high = back.min(), back.max()

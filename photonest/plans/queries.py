@@ -402,6 +402,14 @@ p AS (SELECT img_id, cy, cx, s / sum(s) OVER (PARTITION BY img_id) AS q FROM c)
 SELECT img_id, round(greatest(0, least(1, 0.6 * least(1, sum(CASE WHEN cy <> 1 AND cx <> 1 THEN q ELSE 0 END) / 0.55)
   + 0.4 * greatest(0, least(1, (1 + sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(9)) / 0.03)))), 9) AS composition FROM p GROUP BY img_id"""
 _BOX3 = "(SELECT {t}.img_id, {t}.y, {t}.x, sum(n.{v}) / 9 AS {v} FROM {t}, range(-1, 2) a(dy), range(-1, 2) b(dx), {t} n WHERE n.img_id = {t}.img_id AND n.y = greatest(0, least(7, {t}.y + dy)) AND n.x = greatest(0, least(7, {t}.x + dx)) GROUP BY ALL)".format
+def _box3_sql(table: str, value: str, last: int) -> str:
+    """Means over 3 x 3 with edges repeated, rows first."""
+    return f"""(SELECT img_id, y, x, (c + CASE WHEN y = 0 THEN c ELSE up END + CASE WHEN y = {last} THEN c ELSE down END) / 9 AS {value} FROM (
+  SELECT img_id, y, x, r AS c, lag(r) OVER w AS up, lead(r) OVER w AS down FROM (
+    SELECT img_id, y, x, {value} + CASE WHEN x = 0 THEN {value} ELSE lag({value}) OVER v END + CASE WHEN x = {last} THEN {value} ELSE lead({value}) OVER v END AS r
+    FROM {table} WINDOW v AS (PARTITION BY img_id, y ORDER BY x)) WINDOW w AS (PARTITION BY img_id, x ORDER BY y)))"""
+
+
 _TURN = "2 * pi() * (a.y * b.y + a.x * b.x) / 8"
 _SALIENCY = f"""WITH {_PIX.replace('0.299 * r + 0.587 * g + 0.114 * b', '0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b')},
 cell AS (SELECT i // 8 AS y, i % 8 AS x FROM range(64) t(i)),
@@ -415,6 +423,25 @@ gd AS (SELECT a.img_id, a.y, a.x, floor(least(255, abs(coalesce(h.l, a.l) - a.l)
   LEFT JOIN gr h ON h.img_id = a.img_id AND h.y = a.y AND h.x = a.x + 1 LEFT JOIN gr v ON v.img_id = a.img_id AND v.x = a.x AND v.y = a.y + 1),
 z AS (SELECT img_id, s, m, s / sum(s) OVER (PARTITION BY img_id) AS p FROM sm JOIN {_BOX3(t='gd', v='m')} USING (img_id, y, x))
 SELECT img_id, round(greatest(0, least(1, (greatest(0, least(1, 1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(64))) + (corr(s, m) + 1) / 2) / 2)), 6) AS subject_isolation FROM z GROUP BY img_id"""
+# The same at 64 x 64, with the transform one axis at a time.
+_SALIENCY_64 = f"""WITH {_PIX.replace('0.299 * r + 0.587 * g + 0.114 * b', '0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b')},
+tap AS (SELECT j, i, w / sum(w) OVER (PARTITION BY j) AS w FROM (SELECT j, i, greatest(0, 1 - abs(i + 0.5::DOUBLE - (j + 0.5::DOUBLE) / 8)) AS w FROM range(64) a(j), range(8) b(i)) WHERE w > 0),
+gd AS (SELECT a.img_id, a.y, a.x, a.l, abs(coalesce(h.l, a.l) - a.l) + abs(coalesce(v.l, a.l) - a.l) AS m FROM gr a
+  LEFT JOIN gr h ON h.img_id = a.img_id AND h.y = a.y AND h.x = a.x + 1 LEFT JOIN gr v ON v.img_id = a.img_id AND v.x = a.x AND v.y = a.y + 1),
+by8 AS (SELECT img_id, y, x, floor(greatest(0, least(255, l))) AS l, floor(greatest(0, least(255, m))) AS m FROM gd),
+wide AS (SELECT img_id, y, j AS x, round_even(greatest(0, least(255, sum(l * w))), 0) AS l, round_even(greatest(0, least(255, sum(m * w))), 0) AS m FROM by8 JOIN tap ON i = by8.x GROUP BY ALL),
+big AS (SELECT img_id, j AS y, x, round_even(greatest(0, least(255, sum(l * w))), 0) AS l, round_even(greatest(0, least(255, sum(m * w))), 0) AS m FROM wide JOIN tap ON i = wide.y GROUP BY ALL),
+tw AS (SELECT k, cos(2 * pi() * k / 64) AS c, sin(2 * pi() * k / 64) AS s FROM range(64) t(k)), ax AS (SELECT f::BIGINT AS f FROM range(64) t(f)),
+f1 AS (SELECT img_id, y, f AS u, sum(l * c) AS re, -sum(l * s) AS im FROM big, ax, tw WHERE k = (f * x) % 64 GROUP BY ALL),
+ft AS (SELECT img_id, f AS y, u AS x, sum(re * c + im * s) AS re, sum(im * c - re * s) AS im FROM f1, ax, tw WHERE k = (f * f1.y) % 64 GROUP BY ALL),
+am AS (SELECT *, CASE WHEN a < 1e-9 * max(a) OVER (PARTITION BY img_id) THEN 0 ELSE a END AS z FROM (SELECT *, sqrt(re * re + im * im) AS a FROM ft)),
+lg AS (SELECT *, ln(z + 1e-8) AS v FROM am),
+rs AS (SELECT lg.img_id, lg.y, lg.x, exp(lg.v - s.v) * CASE WHEN z = 0 THEN 1 ELSE re / a END AS re, exp(lg.v - s.v) * CASE WHEN z = 0 THEN 0 ELSE im / a END AS im FROM lg JOIN {_box3_sql('lg', 'v', 63)} s USING (img_id, y, x)),
+b1 AS (SELECT img_id, y, f AS u, sum(re * c - im * s) AS re, sum(im * c + re * s) AS im FROM rs, ax, tw WHERE k = (f * x) % 64 GROUP BY ALL),
+bk AS (SELECT img_id, f AS y, u AS x, pow(sum(re * c - im * s) / 4096, 2) + pow(sum(im * c + re * s) / 4096, 2) AS v FROM b1, ax, tw WHERE k = (f * b1.y) % 64 GROUP BY ALL),
+sm AS (SELECT img_id, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS s FROM {_box3_sql('bk', 'v', 63)} WINDOW w AS (PARTITION BY img_id)),
+z AS (SELECT img_id, s, m, s / sum(s) OVER (PARTITION BY img_id) AS p FROM sm JOIN {_box3_sql('big', 'm', 63)} USING (img_id, y, x))
+SELECT img_id, round(greatest(0, least(1, (greatest(0, least(1, 1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(4096))) + (corr(s, m) + 1) / 2) / 2)), 6) AS subject_isolation FROM z GROUP BY img_id"""
 _HASH = f"""WITH {_PIX}, luma AS (SELECT img_id, y, x, ((r * 19595 + g * 38470 + b * 7471 + 32768)::BIGINT >> 16) AS l FROM px),
 k AS (SELECT j, x, CASE WHEN abs(d) < 1e-12 THEN 1.0::DOUBLE WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0.0::DOUBLE END AS w
   FROM (SELECT j, x, x + 0.5::DOUBLE - (j + 0.5::DOUBLE) * 8 / 9 AS d FROM range(9) t(j), range(8) u(x))),
@@ -499,4 +526,5 @@ SELECT c.id, c.rank, strftime(c.ts, '%Y-%m-%d %H:%M:%S') AS taken, c.place_id, r
   round(s.gate, 9) AS printability, coalesce(reasons, 'average technical quality across the board') AS reasons FROM chosen c JOIN scored s USING (id) LEFT JOIN why USING (idx)""",
     "saliency_8": _SALIENCY,
     "perceptual_hash": _HASH,
+    "saliency_and_hash": f"SELECT * FROM ({_SALIENCY_64}) JOIN ({_HASH}) USING (img_id)",
 }
