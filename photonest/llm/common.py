@@ -33,8 +33,9 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> Dat
     """``rows`` left-joined with ``small`` on ``key``, of which a third of all rows may share one value.
 
     Rows of a key are dealt by the hash of ``spread`` among ``SALT`` tasks; ``small``, a row a key, goes to each of them.
+    It may grow with the input, so it is merged and never broadcast.
     """
-    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).hint("merge")
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(dealt, [key, "__salt"], "left").drop("__salt")
 
 
