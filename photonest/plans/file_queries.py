@@ -22,7 +22,7 @@ from photonest.plans import adapters as A
 from photonest.plans import files
 from photonest.plans import queries as Q
 from photonest.plans.curation import Config, Curation, curate
-from photonest.session import new_path
+from photonest.session import shared_folder
 from photonest.sinks import report
 from photonest.sources.exif import read_exif
 from photonest.sources.images import load_images, scan_images
@@ -33,13 +33,6 @@ TARGET = Q.TARGET
 r9 = Q.r9
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that plain files can be written to."""
-    path = re.sub("^file:(//)?", "", new_path(spark, name))
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def exif_files(spark: SparkSession, sf: str) -> DataFrame:
     """Each event as a file with an EXIF block, in all containers and both byte orders, read back."""
     events = A.table(spark, sf, "events").select("event_id", "user_id", F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("taken"))
@@ -61,7 +54,7 @@ def exif_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def image_folder(spark: SparkSession, sf: str) -> DataFrame:
     """Each image of the pixel queries as a PNG or BMP file in nested folders, beside files of other kinds; scanned, decoded, measured."""
-    folder = _shared_folder(spark, "album")
+    folder = shared_folder(spark, "album")
     shots = A.images(spark, sf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +136,7 @@ def _run(spark: SparkSession, sf: str) -> Curation:
 
 def _report(spark: SparkSession, sf: str) -> str:
     """Path of a written report."""
-    path = os.path.join(_shared_folder(spark, "report"), "report.json")
+    path = os.path.join(shared_folder(spark, "report"), "report.json")
     report.write_report(_run(spark, sf), path)
     return path
 
@@ -185,7 +178,7 @@ def result_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 def uploads(spark: SparkSession, sf: str) -> DataFrame:
     """Each page as a form of one field and two files (of which the second is named with a path), saved and read back."""
-    folder = _shared_folder(spark, "uploads")
+    folder = shared_folder(spark, "uploads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -61,6 +63,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of the application's own that the driver and executors can open as plain files."""
+    path = new_path(spark, name)
+    plain = re.sub("^file:(//)?(?=/)", "", path)
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:", plain):
+        raise ValueError(f"plain files cannot be kept at {path}; name a folder that all executors share")
+    os.makedirs(plain, exist_ok=True)
+    return plain
+
+
 def materialize(df: DataFrame, name: str = "table", thin: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
