@@ -74,16 +74,19 @@ def candidate_features(toxic: list[list[str]], clean: list[list[str]]) -> dict[s
     A feature counts once for each different pair of neighbours in a toxic text, so that near copies of
     one text support nothing.
     """
-    own = {w: features(w) for words in chain(toxic, clean) for w in set(words)}
-    base: Counter = Counter()
-    seen: Counter = Counter()
-    for count, texts in ((base, clean), (seen, toxic)):
-        for words in texts:
-            count.update(set(chain.from_iterable(map(own.__getitem__, set(words)))))
     n, m = len(toxic), len(clean)
-    likely = {f for f, k in seen.items() if k >= 3 and _ratio_test(k, n, base[f], m) >= LEAST_TEST}
+    distinct = [[list(set(words)) for words in x] for x in (toxic, clean)]
+    base: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    for i in range(1 + len(PREFIXES)):  # one kind of feature at a time, for memory
+        size = PREFIXES[i - 1] if i else 0
+        counts = [Counter(chain.from_iterable({w[:size] if size else "=" + w for w in words if len(w) >= size} for words in x)) for x in distinct]
+        likely = {f for f, k in counts[0].items() if k >= 3 and _ratio_test(k, n, counts[1][f], m) >= LEAST_TEST}
+        seen |= {f: counts[0][f] for f in likely}
+        base |= {f: counts[1][f] for f in likely}
+    likely = set(seen)
     around: dict[str, set] = {f: set() for f in likely}
-    marks = {w: found for w, fs in own.items() if (found := [f for f in fs if f in likely])}
+    marks = {w: found for w in set(chain.from_iterable(distinct[0])) if (found := [f for f in features(w) if f in likely])}
     for words in toxic:
         for i, w in enumerate(words):
             for f in marks.get(w, ()):
@@ -209,7 +212,8 @@ class SpanTagger:
         if curve:  # each half is judged by the field of the other
             halves = [[x[i::2] for x in (toxic, clean)] for i in (0, 1)]
             seen = [SpanTagger().fit(*halves[1 - i], curve=False)._summaries(*halves[i]) for i in (0, 1)]
-        odds = candidate_features(*[[_WORD.findall(t.lower()) for t in x] for x in (toxic, clean)])
+        once: dict[str, str] = {}  # each word is held once, however often it occurs
+        odds = candidate_features(*[[[once.setdefault(w, w) for w in _WORD.findall(t.lower())] for t in x] for x in (toxic, clean)])
         if odds:
             self.ids = {f: i + 2 for i, f in enumerate(sorted(odds))}
             self._train(toxic, clean, odds)
