@@ -236,19 +236,14 @@ def mix(
 CLOSE = 100
 
 
-def _shared_texts(sized: DataFrame, max_patterns: int) -> tuple[DataFrame, dict[str, int]]:
-    """``(th, _p, copies)`` of texts that several sources hold, for the ``max_patterns`` patterns of most words, and words by pattern.
-
-    Texts of rarer patterns count as each source's own, which changes no source's total.
-    """
+def _shared_texts(sized: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """``(th, _p, copies)`` of texts that several sources hold, and words by pattern, all of them."""
     several = sized.groupBy("th").agg(F.min("_s").alias("a"), F.max("_s").alias("b")).where("a <> b").select("th")
     rows = Bitmap(materialize(several, "shared-texts", thin=True), "th").keep(sized, "th")
     texts = rows.groupBy("th").agg(F.array_sort(F.collect_set("_s")).alias("s"), F.count("*").alias("copies"), F.max("size").alias("size"))
     texts = materialize(texts.where("size(s) > 1 and size > 0").select("th", F.to_json("s").alias("_p"), "copies", "size"), "shared-patterns", thin=True)
-    top = texts.groupBy("_p").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "_p").limit(max_patterns).collect()
-    words = {r["_p"]: r["n"] for r in top}
-    kept = texts.sparkSession.createDataFrame([(x,) for x in words], "_p string")
-    return texts.join(F.broadcast(kept), "_p", "left_semi").select("th", "_p", "copies"), words
+    words = {r["_p"]: r["n"] for r in texts.groupBy("_p").agg(F.sum("size").alias("n")).collect()}
+    return texts.select("th", "_p", "copies"), words
 
 
 def _planned(groups: list, words: dict[str, int], quota: dict[str, int], most: int, docs_per_bucket: int) -> list[tuple]:
@@ -281,13 +276,14 @@ def mix_documents(
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, pattern)``; sources in code point order weigh ``weights`` in turn.
 
-    ``pattern`` tells the sources that hold the document's text. The driver holds some bytes a source.
+    ``pattern`` tells the sources that hold the document's text. The driver holds some bytes a source and some KB a
+    pattern; every pattern takes part in the flow, whatever ``max_patterns`` says, which only callers of old still name.
     """
     spark = df.sparkSession
     name = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
     sized = df.select("doc_id", name.alias("_s"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     sized = materialize(sized, "sizes")
-    shared, words = _shared_texts(sized, max_patterns)
+    shared, words = _shared_texts(sized)
     own = F.xxhash64(F.lit(seed), "doc_id", "size")
     alone = F.to_json(F.array("_s"))
     if words:

@@ -1,5 +1,6 @@
 """Flows against exhaustive search, and mixes of sources that share texts."""
 
+import json
 import random
 from collections import defaultdict
 from itertools import product
@@ -100,3 +101,21 @@ def test_mix_without_words(spark):
     assert {r["taken"] for r in mixed(spark, [(1, None, "a", "x"), (2, " ", None, "x")])[0]} == {0}
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_documents(empty).count() == 0 and mixing.take_mix(empty).count() == 0
+
+
+def test_every_pattern_takes_part(spark):
+    """More patterns than were once let in: sources in many combinations, of which none is taken apart."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(2300):
+        sources = sorted(f"s{j:02d}" for j in range(12) if (i + 3 >> j) & 1)
+        text = " ".join(rng.choice("abcdefgh") for _ in range(1 + i % 3)) + f" {i}"
+        rows += [(100 * i + j, text, s, "x") for j, s in enumerate(sources)]
+    got, own = mixed(spark, rows, share=0.3)
+    holders = defaultdict(set)
+    for _, t, s, _ in rows:
+        holders[t].add(s)
+    assert len({tuple(sorted(x)) for x in holders.values() if len(x) > 1}) > 2000
+    assert all(r["pattern"] == json.dumps(sorted(holders[own[r["doc_id"]][0]]), separators=(",", ":")) for r in got)
+    got, own = mixed(spark, rows[:2000], max_patterns=1)
+    assert all(json.loads(r["pattern"]) == sorted(s for _, t, s, _ in rows[:2000] if t == own[r["doc_id"]][0]) for r in got)
